@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from panelwright.llm import exact_dedup, sharding, simhash
+from panelwright.llm import bpe_codec, exact_dedup, sharding, simhash, token_counts
 
-MODULES = [exact_dedup, sharding, simhash]
+MODULES = [token_counts, sharding, bpe_codec, exact_dedup, simhash]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
