@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from panelwright.llm import bpe_codec, exact_dedup, packing, pii, sharding, simhash, token_counts
+from panelwright.llm import bpe_codec, exact_dedup, packing, pii, sharding, simhash, token_counts, toxicity
 
-MODULES = [token_counts, sharding, bpe_codec, exact_dedup, packing, pii, simhash]
+MODULES = [token_counts, sharding, bpe_codec, toxicity, exact_dedup, packing, pii, simhash]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
