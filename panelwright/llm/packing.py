@@ -15,22 +15,28 @@ Defined results: a null text is empty and has the one closing id; only documents
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelwright.llm.bytebpe import MEMO
+from panelwright.llm.bytebpe import MEMO, byte_letters
 from panelwright.llm.common import materialize, size_checked, table
 
 WORD_BPE = "word_bpe_49k.json"
+#: Fixed value: the tokenizer's word pattern, and what it comes to on lower-case ASCII.
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+").findall
+ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
 MAX_LEN = 2048
 #: More than the documents of any one length.
 RANKS = 1 << 44
@@ -40,7 +46,11 @@ ODD = "\x1c\x1d\x1e\x1f"
 
 
 class WordIds(dict):
-    """Ids of white-space separated segments, by the library; the tokenizer drops white space and no word spans it."""
+    """Ids of white-space separated segments; the tokenizer drops white space and no word spans it.
+
+    A new segment is normalised by the library and cut into words by its pattern; the library's
+    model gives the ids of each new word. Segments and words are remembered up to a bound.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -48,19 +58,44 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.words: dict[str, bytes] = {}
 
     def by_library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def word(self, w: str) -> bytes:
+        letters = w.encode().decode("latin-1").translate(self.letters)
+        ids = self.words[w] = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+        return ids
+
+    def learn(self, segments: list[str]) -> None:
+        if len(self.words) > MEMO // 2:
+            self.words.clear()
+        known, word = self.words.get, self.word
+        plain = [s for s in segments if s.isascii() and "<|" not in s]
+        for s in plain:
+            self[s] = b"".join([known(w) or word(w) for w in ASCII_WORDS(s.lower())])
+        other = [s for s in segments if not s.isascii() or "<|" in s]
+        marked = [s for s in other if any(t in s for t in self.special)]
+        rest = [s for s in other if s not in set(marked)] if marked else other
+        normal = self.tokenizer.normalizer.normalize_str(" ".join(rest)).split(" ") if rest else []
+        if len(normal) != len(rest):
+            marked, rest, normal = marked + rest, [], []
+        for s, n in zip(rest, normal):
+            self[s] = b"".join([known(w) or word(w) for w in WORDS(n)])
+        self.update(zip(marked, self.by_library(marked)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").split() for t in texts]
         odd = [k for k, t in enumerate(texts) if t and any(c in t for c in ODD)]
         for k in odd:
             split[k] = []
+        seen = set().union(*split)
         if len(self) > MEMO:
             self.clear()
-        new = list(set().union(*split).difference(self))
-        self.update(zip(new, self.by_library(new)))
+        self.learn([s for s in seen if s not in self])
         out = [b"".join(map(self.__getitem__, s)) for s in split]
         for k, ids in zip(odd, self.by_library([texts[k] for k in odd])):
             out[k] = ids
