@@ -66,7 +66,7 @@ def inner_split(train_dates, fraction: float, embargo: int) -> tuple[list[int],
     """The last ``fraction`` of the training dates are held out, after an embargo by position."""
     axis = sorted(train_dates)
     held = max(1, round(fraction * len(axis)))
-    left = axis[: len(axis) - held - embargo]
+    left = axis[: max(0, len(axis) - held - embargo)]
     if not left:
         raise ValueError("no training date is left before the inner hold-out")
     return left, axis[len(axis) - held :]
