@@ -30,7 +30,7 @@ from panelwright.llm.common import connected_components, materialize, merge_labe
 MIN_COSINE = 0.95
 #: Vectors of a unit, at most about; net points, at most; rows of the sample that gives them.
 UNIT, MAX_CELLS, SAMPLE = 4096, 512, 8192
-LEAF, FANOUT, SLACK = 64, 64, 1e-9
+LEAF, FANOUT, SLACK, LINKS_AT_ONCE = 256, 64, 1e-9, 1_000_000
 
 
 class CoverTree:
@@ -65,7 +65,8 @@ class CoverTree:
                 half /= 2
             rest, parts, centres = self.order[start:stop], [], []
             nxt = c  # levels are nested: a node is its own first child
-            while len(rest) and len(parts) < FANOUT:
+            most = min(FANOUT, -(-2 * len(rest) // LEAF))
+            while len(rest) and len(parts) < most:
                 d = distance(nxt, rest)
                 near = d <= half
                 parts.append(rest[near])
@@ -100,6 +101,24 @@ def dual_links(a: CoverTree, b: CoverTree, wa: np.ndarray, wb: np.ndarray, least
     if same:
         cb = ca
     labels, off = np.arange(na + nb), 0 if same else na
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def link(u: np.ndarray, v: np.ndarray) -> None:
+        """Unions are merged many at a time; what waits is bounded."""
+        nonlocal labels, waiting
+        held.append((u, v))
+        waiting += len(u)
+        if waiting > LINKS_AT_ONCE:
+            flush()
+
+    def flush() -> None:
+        nonlocal labels, waiting
+        if held:
+            labels = merge_labels(labels, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+            held.clear()
+        waiting = 0
+
+    waiting = 0
     if not na or not len(b.points):
         return ca, cb, labels
     apart = np.sqrt(np.maximum(0.0, 2 - 2 * np.clip(a.centres @ b.centres.T, -1, 1)))
@@ -114,11 +133,11 @@ def dual_links(a: CoverTree, b: CoverTree, wa: np.ndarray, wb: np.ndarray, least
             sa, ea, sb, eb = a.start[i], a.stop[i], b.start[j], b.stop[j]
             if same and i == j:
                 ca[sa:ea] += sum_a[ea] - sum_a[sa] - wa[sa:ea]
-                labels = merge_labels(labels, np.arange(sa, ea), np.full(ea - sa, sa))
+                link(np.arange(sa, ea), np.full(ea - sa, sa))
             else:
                 ca[sa:ea] += sum_b[eb] - sum_b[sb]
                 cb[sb:eb] += sum_a[ea] - sum_a[sa]
-                labels = merge_labels(labels, np.concatenate([np.arange(sa, ea), np.arange(sb, eb) + off]), np.concatenate([np.full(ea - sa, sb + off), np.full(eb - sb, sa)]))
+                link(np.concatenate([np.arange(sa, ea), np.arange(sb, eb) + off]), np.concatenate([np.full(ea - sa, sb + off), np.full(eb - sb, sa)]))
         p, q = p[~whole], q[~whole]
         leaf = (a.children[p] == 0) & (b.children[q] == 0)
         for i, j in zip(p[leaf], q[leaf]):
@@ -130,7 +149,7 @@ def dual_links(a: CoverTree, b: CoverTree, wa: np.ndarray, wb: np.ndarray, least
                 ca[sa:ea] += hit @ wb[sb:eb]
                 cb[sb:eb] += wa[sa:ea] @ hit
                 u, v = np.nonzero(hit)
-                labels = merge_labels(labels, u + sa, v + sb + off)
+                link(u + sa, v + sb + off)
         p, q = p[~leaf], q[~leaf]
         if not len(p):
             break
@@ -152,6 +171,7 @@ def dual_links(a: CoverTree, b: CoverTree, wa: np.ndarray, wb: np.ndarray, least
         p, q = np.concatenate(np_), np.concatenate(nq)
         if same:
             p, q = np.minimum(p, q), np.maximum(p, q)
+    flush()
     return ca, cb, labels
 
 
@@ -179,7 +199,7 @@ def joined(nodes: DataFrame, dim: int, n: int, least: float, unit: int) -> DataF
     spark = nodes.sparkSession
     sample = nodes.select("embedding").orderBy(F.xxhash64("node")).limit(SAMPLE).toArrow()  # bounded
     centres = net(unit_rows(sample.column("embedding"), dim), min(MAX_CELLS, -(-n // unit)))
-    t = float(np.sqrt(2 - 2 * least))
+    t, kind = float(np.sqrt(2 - 2 * least)), nodes.schema["embedding"].dataType.simpleString()
     away = lambda x: np.sqrt(np.maximum(0.0, 2 - 2 * x @ centres.T))
 
     def assign(batches):
@@ -188,7 +208,7 @@ def joined(nodes: DataFrame, dim: int, n: int, least: float, unit: int) -> DataF
             cell = d.argmin(axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], [*b.schema.names, "cell", "far"])
 
-    placed = materialize(nodes.mapInArrow(assign, "node long, weight long, embedding array<double>, cell int, far double"), "cover-cells")
+    placed = materialize(nodes.mapInArrow(assign, f"node long, weight long, embedding {kind}, cell int, far double"), "cover-cells")
     stats = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # at most MAX_CELLS rows
     radius = np.array([stats[c]["far"] if c in stats else -9.0 for c in range(len(centres))])
     parts = np.array([-(-stats[c]["n"] // unit) if c in stats else 0 for c in range(len(centres))])
@@ -209,7 +229,7 @@ def joined(nodes: DataFrame, dim: int, n: int, least: float, unit: int) -> DataF
             lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(np.bincount(row, minlength=len(cell)))).astype(np.int32), pa.array(other.astype(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("weight"), b.column("embedding"), pa.array(own.astype(np.int64)), lists], ["node", "weight", "embedding", "own", "others"])
 
-    dealt = placed.mapInArrow(pairs, "node long, weight long, embedding array<double>, own long, others array<long>")
+    dealt = placed.mapInArrow(pairs, f"node long, weight long, embedding {kind}, own long, others array<long>")
     dealt = dealt.withColumn("other", F.explode("others")).drop("others")
     dealt = dealt.select(F.least("own", "other").alias("u"), F.greatest("own", "other").alias("w"), "own", "node", "weight", "embedding")
 
@@ -234,7 +254,8 @@ def joined(nodes: DataFrame, dim: int, n: int, least: float, unit: int) -> DataF
 def near_vectors(vectors: DataFrame, least: float = MIN_COSINE, unit: int = UNIT) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of (vec_id, embedding)."""
     spark = vectors.sparkSession
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"  # as it is stored; compared in double
+    rows = vectors.select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.coalesce((F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = materialize(rows.withColumn("good", good).withColumn("embedding", F.when(F.col("good"), F.col("embedding"))), "vectors")

@@ -40,6 +40,8 @@ FOLDS = 10
 #: Partial word counts of a level-1 part, training tokens of a level-2 shard, occurrences beyond which a context is dealt over shards.
 PART_ROWS, SHARD_TOKENS, HOT = 4_000_000, 4_000_000, 1_000_000
 WORDS_AT_ONCE, PAIRS_AT_ONCE, TOKENS_AT_ONCE = 1_000_000, 4_000_000, 400_000
+#: Path, words of the level-1 parts, N, shards, occurrences that make a context hot.
+Model = tuple[str, tuple[int, ...], int, int, int]
 LEVELS, STEP = 256, 10 / 255  # log10 from -10 to 0
 MIX = np.uint64(0x9E3779B97F4A7C15)
 END = b""
@@ -63,8 +65,8 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def shard_of(c: np.ndarray, w: np.ndarray, n_c: np.ndarray, shards: int) -> np.ndarray:
-    spread = np.maximum(1, -(-n_c // HOT)).astype(np.uint64)
+def shard_of(c: np.ndarray, w: np.ndarray, n_c: np.ndarray, shards: int, hot: int) -> np.ndarray:
+    spread = np.maximum(1, -(-n_c // hot)).astype(np.uint64)
     return nth_shard(c, w.astype(np.uint64) % spread, shards)
 
 
@@ -92,8 +94,8 @@ def merged(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Trie:
     """The mapped levels. ``parts``: words of each level-1 part; totals N and V."""
 
-    def __init__(self, path: str, parts: list[int], n: int, shards: int):
-        self.path, self.offset, self.n, self.v, self.shards = path, np.append(0, np.cumsum(parts)), n, sum(parts), shards
+    def __init__(self, path: str, parts: tuple[int, ...], n: int, shards: int, hot: int):
+        self.path, self.offset, self.n, self.v, self.shards, self.hot = path, np.append(0, np.cumsum(parts)).astype(np.int64), n, sum(parts), shards, hot
         self.levels: dict[str, dict] = {}
 
     def level(self, name: str) -> dict:
@@ -131,7 +133,7 @@ class Trie:
     def pairs(self, c: np.ndarray, w: np.ndarray, n_c: np.ndarray) -> np.ndarray:
         """Discounted probability of every pair, 0 where it was not seen."""
         out = np.zeros(len(c))
-        of = shard_of(c, w, n_c, self.shards)
+        of = shard_of(c, w, n_c, self.shards, self.hot)
         order = np.argsort(of, kind="stable")
         for at in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else ():
             lv = self.level(f"pairs-{of[at[0]]}")
@@ -149,7 +151,7 @@ class Trie:
     def successors(self, c: np.ndarray, n_c: np.ndarray) -> np.ndarray:
         """Distinct successors of every context."""
         out = np.zeros(len(c), np.int64)
-        spread = np.maximum(1, -(-n_c // HOT))
+        spread = np.maximum(1, -(-n_c // self.hot))
         which = np.repeat(np.arange(len(c)), spread)
         of = nth_shard(c[which], np.arange(len(which)) - np.repeat(np.cumsum(spread) - spread, spread), self.shards)
         pair = np.unique(which * self.shards + of)  # a shard that serves one context twice counts once
@@ -164,8 +166,8 @@ class Trie:
 
 
 @lru_cache(maxsize=4)
-def trie(path: str, parts: tuple[int, ...], n: int, shards: int) -> Trie:
-    return Trie(path, list(parts), n, shards)
+def trie(path: str, parts: tuple[int, ...], n: int, shards: int, hot: int) -> Trie:
+    return Trie(path, parts, n, shards, hot)
 
 
 def token_batches(batches, training_only: bool):
@@ -220,8 +222,8 @@ def count_words(batches):
         yield out()
 
 
-def train(docs: DataFrame) -> tuple[str, tuple[int, ...], int, int]:
-    """Build the levels; gives what ``trie`` takes: path, words of the level-1 parts, N, shards."""
+def train(docs: DataFrame) -> Model:
+    """Build the levels; gives what ``trie`` takes."""
     spark = docs.sparkSession
     path = scratch(spark, "lm-trie")
     where = urlparse(path)
@@ -249,9 +251,10 @@ def train(docs: DataFrame) -> tuple[str, tuple[int, ...], int, int]:
     n = sum(r["tokens"] for r in built)
     sizes = tuple(sizes.get(p, 0) for p in range(parts))
     shards = max(1, -(-n // SHARD_TOKENS))
+    model: Model = (path, sizes, n, shards, HOT)
 
     def count_pairs(batches):
-        t = trie(path, sizes, n, shards)
+        t = trie(*model)
         end = int(t.words(hashes([END]))[0][0]) if t.v else -1
         held: list[np.ndarray] = []
 
@@ -259,7 +262,7 @@ def train(docs: DataFrame) -> tuple[str, tuple[int, ...], int, int]:
             key, size = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             c, w = key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)
-            of = shard_of(c.astype(np.int64), w, t.counts(c.astype(np.int64)), shards)
+            of = shard_of(c.astype(np.int64), w, t.counts(c.astype(np.int64)), shards, t.hot)
             order = np.argsort(of, kind="stable")
             rows = [(int(of[at[0]]), split_bytes(np.diff(key[at], prepend=np.uint64(0))), split_bytes(size[at].astype(np.uint32))) for at in np.split(order, np.flatnonzero(np.diff(of[order])) + 1)]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], ["shard", "keys", "counts"])
@@ -281,7 +284,7 @@ def train(docs: DataFrame) -> tuple[str, tuple[int, ...], int, int]:
         k, m = merged(np.concatenate([np.cumsum(join_bytes(x, "<u8")) for x in keys]), np.concatenate([join_bytes(x, "<u4") for x in counts]).astype(np.int64))
         c, w = k >> np.uint64(32), k & np.uint64(0xFFFFFFFF)
         context, rank, per = np.unique(c, return_inverse=True, return_counts=True)
-        t = trie(path, sizes, n, shards)
+        t = trie(*model)
         n_c = t.counts(context.astype(np.int64))
         code = np.clip(np.rint(np.log10((m - DISCOUNT) / n_c[rank]) / STEP) + LEVELS - 1, 0, LEVELS - 1).astype(np.uint8)
         s = key[0].as_py()
@@ -293,7 +296,7 @@ def train(docs: DataFrame) -> tuple[str, tuple[int, ...], int, int]:
     none = np.zeros(0, np.uint64)
     for s in set(range(shards)) - {r["shard"] for r in made}:
         save(f"{path}/pairs-{s}", ef_build(none, "context") | ef_build(np.zeros(1, np.uint64), "pointer") | ef_build(none, "successor") | {"code": np.zeros(0, np.uint8)})
-    return path, sizes, n, shards
+    return model
 
 
 def score_tokens(t: Trie, tokens: list[list[bytes]]) -> tuple[np.ndarray, ...]:
@@ -317,7 +320,7 @@ def score_tokens(t: Trie, tokens: list[list[bytes]]) -> tuple[np.ndarray, ...]:
     return size, add((count[flat] > 0).astype(np.int64)), add(np.log10(p1)[flat]), add(np.log10(p))
 
 
-def lm_scores(docs: DataFrame, model: tuple[str, tuple[int, ...], int, int]) -> DataFrame:
+def lm_scores(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
 
     def run(batches):
