@@ -39,7 +39,7 @@ ADD, DISCOUNT = 0.1, 0.75
 FOLDS = 10
 #: Partial word counts of a level-1 part, training tokens of a level-2 shard, occurrences beyond which a context is dealt over shards.
 PART_ROWS, SHARD_TOKENS, HOT = 4_000_000, 4_000_000, 1_000_000
-WORDS_AT_ONCE, PAIRS_AT_ONCE, TOKENS_AT_ONCE = 1_000_000, 4_000_000, 400_000
+WORDS_AT_ONCE, PAIRS_AT_ONCE, TOKENS_AT_ONCE = 500_000, 2_000_000, 200_000
 #: Path, words of the level-1 parts, N, shards, occurrences that make a context hot.
 Model = tuple[str, tuple[int, ...], int, int, int]
 LEVELS, STEP = 256, 10 / 255  # log10 from -10 to 0
