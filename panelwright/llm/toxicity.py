@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -35,7 +36,7 @@ FIT_DOCS, FIT_CHARS = 4000, 100_000
 PREFIXES = (3, 4, 5, 6, 7)
 SEGMENT, FIT_SEGMENT, FIT_SEGMENTS = 64, 32, 8000
 TOKENS_AT_ONCE = 400_000
-ROUNDS, RATE, RIDGE = 80, 0.3, 1e-4
+ROUNDS, RATE, RIDGE = 120, 0.8, 1e-4
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -44,15 +45,36 @@ def features(word: str) -> list[str]:
     return ["=" + w, *("^" + w[:k] for k in PREFIXES if len(w) > k)]
 
 
+def copies(docs: list[list[str]]) -> list[int]:
+    """A number for every document, the same for near-copies: documents that share one of three minima of shingle hashes."""
+    group: list[int] = []
+    seen: dict[tuple[int, int], int] = {}
+    for words in docs:
+        h = np.array([zlib.crc32(" ".join(words[i : i + 3]).lower().encode()) for i in range(max(1, len(words) - 2))], np.uint64)
+        least = [(k, int((h * np.uint64(m) & np.uint64(0xFFFFFFFF)).min())) for k, m in enumerate((1, 0x9E3779B1, 0x85EBCA77))]
+        at = next((seen[x] for x in least if x in seen), len(group))
+        group.append(at)
+        for x in least:
+            seen.setdefault(x, at)
+    return group
+
+
 def tied(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
-    """Features tied to toxic documents: likelihood ratio beyond what so many features show by chance, and mostly toxic."""
-    df = []
+    """Features tied to toxic documents: likelihood ratio beyond what so many features show by chance, and mostly toxic.
+
+    Near-copies count once, as their shared words say nothing more than one document's.
+    """
+    df, n = [], []
     for docs in (toxic, clean):
+        groups: dict[int, set[str]] = {}
+        for g, words in zip(copies(docs), docs):
+            groups.setdefault(g, set()).update(words)
         c: Counter[str] = Counter()
-        for words in docs:
-            c.update({f for w in set(words) for f in features(w)})
+        for words in groups.values():
+            c.update({f for w in words for f in features(w)})
         df.append(c)
-    n1, n0 = len(toxic), len(clean)
+        n.append(max(1, len(groups)))
+    n1, n0 = n
     need = 2 * math.log(max(len(df[0]) + len(df[1]), 2)) + 6
     half = lambda k, n, p: (k * math.log(p) if k else 0.0) + ((n - k) * math.log(1 - p) if n > k else 0.0)
     out = set()
@@ -176,10 +198,13 @@ def fit_chain(docs: list[list[str]], gold: list[np.ndarray], seed: int = 7) -> C
         y.append(gold[d][k : k + FIT_SEGMENT])
         size.append(len(w))
     word, y, size = np.array(words), np.concatenate(y).astype(float), np.array(size)
-    seen: Counter[str] = Counter()
-    for w in vocab:
-        seen.update(features(w))
-    index = {f: i for i, f in enumerate(f for f, c in seen.items() if c >= 2 or f[0] == "=")}
+    seen: Counter[str] = Counter()  # words with a feature; a word's own feature counts its tokens
+    often = {"=" + w.lower(): 0 for w in vocab}
+    for w, k in zip(vocab, np.bincount(word, minlength=len(vocab)).tolist()):
+        seen.update(features(w)[1:])
+        often["=" + w.lower()] += k
+    seen.update(dict.fromkeys(often, 1))
+    index = {f: i for i, f in enumerate(f for f, c in seen.items() if c >= 2 or f[0] == "=" and often[f] >= 3)}
     pairs = np.array([(i, index[f]) for w, i in vocab.items() for f in features(w) if f in index]).reshape(-1, 2)
     weight, bias, trans = np.zeros(len(index)), -2.0, np.zeros((2, 2))
     gw, gb, gt = np.full(len(index), 1e-6), 1e-6, np.full((2, 2), 1e-6)
