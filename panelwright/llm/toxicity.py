@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from panelwright.llm.bytebpe import MEMO
 from panelwright.llm.common import table
 
-FIT_DOCS, FIT_CHARS = 4000, 100_000
+FIT_DOCS, FIT_CHARS = 3000, 50_000
 PREFIXES = (3, 4, 5, 6, 7)
 SEGMENT, FIT_SEGMENT, FIT_SEGMENTS = 64, 32, 8000
 TOKENS_AT_ONCE = 400_000
@@ -66,21 +67,24 @@ def tied(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
     """
     df, n = [], []
     for docs in (toxic, clean):
-        groups: dict[int, set[str]] = {}
-        for g, words in zip(copies(docs), docs):
-            groups.setdefault(g, set()).update(words)
+        groups: dict[int, list[int]] = {}
+        for i, g in enumerate(copies(docs)):
+            groups.setdefault(g, []).append(i)
         c: Counter[str] = Counter()
-        for words in groups.values():
-            c.update({f for w in words for f in features(w)})
+        for members in groups.values():
+            own = {f for w in set().union(*(docs[i] for i in members)) for f in features(w)}
+            c.update(own & df[0].keys() if df else own)
+        if not df:
+            need = 2 * math.log(max(len(c), 2)) + 8
+            c = Counter({f: k for f, k in c.items() if k >= 3})  # only these can be tied
         df.append(c)
         n.append(max(1, len(groups)))
     n1, n0 = n
-    need = 2 * math.log(max(len(df[0]) + len(df[1]), 2)) + 6
     half = lambda k, n, p: (k * math.log(p) if k else 0.0) + ((n - k) * math.log(1 - p) if n > k else 0.0)
     out = set()
     for f, a in df[0].items():
         b = df[1][f]
-        if a < 3 or a / n1 < 0.93 * (a / n1 + b / n0):
+        if a / n1 < 0.93 * (a / n1 + b / n0):
             continue
         p = (a + b) / (n1 + n0)
         if p < 1 and 2 * (half(a, n1, a / n1) + half(b, n0, b / n0) - half(a, n1, p) - half(b, n0, p)) >= need:
@@ -257,7 +261,7 @@ def fit(texts: list[str], labels: list[int], share: float) -> Crf:
     y = np.array(labels)
     if len(y) == 0 or y.min() == y.max():
         return Crf(constant=share)
-    words = [WORD.findall(t or "") for t in texts]
+    words = [list(map(sys.intern, WORD.findall(t or ""))) for t in texts]  # one string for each distinct word
     third = np.arange(len(y)) % 3 == 2  # calibrates
     if len(set(y[third])) < 2 or len(set(y[~third])) < 2:
         third[:] = False
