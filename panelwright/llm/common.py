@@ -11,7 +11,6 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,16 +59,22 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """Add a locator (file key, row in file) that is unique and stable for every row.
+def plain_scan(df: DataFrame) -> bool:
+    """True for projections and filters over one file scan: every row then has a file and a position of its own."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return node.getClass().getSimpleName() == "LogicalRelation" and bool(df.inputFiles())
 
-    A frame that is not read straight from files is written to the shared folder first.
-    """
-    loc = [F.xxhash64("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW)]
-    try:
-        return docs.select("*", *loc)
-    except AnalysisException:
-        return materialize(docs, "located").select("*", *loc)
+
+def stable(df: DataFrame, name: str = "docs") -> DataFrame:
+    """``df`` where several reads give its rows the same locators; anything but a plain file scan is written once."""
+    return df if plain_scan(df) else materialize(df, name)
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """Add a locator (file key, row in file) that is unique and stable for every row."""
+    return stable(docs).select("*", F.xxhash64("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
 
 
 def size_checked(df: DataFrame, rows: int) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import FILE, LOWER_BYTES, LOWER_SQL, ROW, discard, located, materialize, scratch, size_checked, table, without
+from panelwright.llm.common import FILE, LOWER_BYTES, LOWER_SQL, ROW, discard, located, lower_az, materialize, scratch, size_checked, stable, table, without
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -94,7 +94,7 @@ def exact_dedup(docs: DataFrame, max_files_per_trigger: int = 256, digest_chars:
     hit_rows = seen.select("digest", FILE, ROW).join(size_checked(hit, n_hit), "digest", "left_semi")
     n_rows = hit_rows.count() if n_hit else 0
     texts = rows.select("doc_id", "text", FILE, ROW).join(size_checked(hit_rows, n_rows), [FILE, ROW])
-    texts = texts.withColumn("text", F.translate(F.coalesce("text", F.lit("")), *_AZ))
+    texts = texts.withColumn("text", lower_az(F.col("text")))
     exact = texts.groupBy("digest", "text").agg(F.max(F.struct("doc_id", FILE, ROW)).alias("keep"), F.count("*").alias("group_size"))
     if n_hit:
         clash = materialize(exact.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "dedup-clash")
@@ -111,27 +111,13 @@ def exact_dedup(docs: DataFrame, max_files_per_trigger: int = 256, digest_chars:
     return out.withColumn("kept", same)
 
 
-_AZ = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def keep_first_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with the columns of ``docs``."""
-    docs = materialize_if_needed(docs)
+    docs = stable(docs)
     decisions = exact_dedup(docs)
     return without(located(docs), decisions.where("not kept")).select(*docs.columns)
 
 
-def materialize_if_needed(docs: DataFrame) -> DataFrame:
-    """Both reads of ``docs`` must see the same locators, so a frame not read straight from files is written once."""
-    try:
-        docs.select("_metadata.row_index")
-        return docs
-    except Exception as e:
-        if type(e).__name__ != "AnalysisException":
-            raise
-        return materialize(docs, "docs")
-
-
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = exact_dedup(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", "kept", F.col("digest").alias("text_sha256"))

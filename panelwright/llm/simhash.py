@@ -22,8 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import FILE, LOWER_BYTES, ROW, connected_components, located, materialize, merge_labels, pair_blocks, shuffle_partitions, table, without
-from panelwright.llm.exact_dedup import materialize_if_needed
+from panelwright.llm.common import FILE, LOWER_BYTES, ROW, connected_components, located, materialize, merge_labels, pair_blocks, shuffle_partitions, stable, table, without
 
 SEED, SEGMENTS, BITS, MAX_DIFF = 42, 4, 16, 3
 HASHES_AT_ONCE, PAIRS_AT_ONCE, BLOCK = 100_000, 1_000_000, 20_000
@@ -126,7 +125,7 @@ def simhash_dedup(docs: DataFrame, width: int = 3) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each component (the smallest doc_id), with the columns of ``docs``."""
-    docs = materialize_if_needed(docs)
+    docs = stable(docs)
     return without(located(docs), simhash_dedup(docs).where("not kept")).select(*docs.columns)
 
 

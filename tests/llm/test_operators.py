@@ -75,6 +75,12 @@ def test_pair_blocks_cover_every_pair():
     assert sorted(got) == sorted(want)
 
 
+def test_locators_are_unique_whatever_the_frame(spark, sample):
+    for df in (sample, sample.where("doc_id > 5").select("doc_id", "text"), sample.union(sample), sample.join(spark.range(2)), sample.limit(7), sample.limit(0)):
+        got = common.located(df)
+        assert got.select(common.FILE, common.ROW).distinct().count() == got.count() == df.count()
+
+
 # ---------------------------------------------------------------- 1 cover tree
 
 
