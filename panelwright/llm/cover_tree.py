@@ -49,6 +49,11 @@ class CoverTree:
         self.points = points[self.order]
         self.centres = points[self.centre] if nodes else points[:0]
 
+    def nodes_below(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Children of all nodes, one node's after the other, and how many each has."""
+        n = self.children[nodes]
+        return np.repeat(self.child[nodes], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), n
+
     def _build(self, x: np.ndarray, nodes: list) -> None:
         def distance(c: int, idx: np.ndarray) -> np.ndarray:
             return np.sqrt(np.maximum(0.0, ((x[idx] - x[c]) ** 2).sum(axis=1)))
@@ -156,19 +161,12 @@ def dual_links(a: CoverTree, b: CoverTree, wa: np.ndarray, wb: np.ndarray, least
         twin = same & (p == q)
         down_a = ~twin & (a.children[p] > 0) & ((b.children[q] == 0) | (a.radius[p] >= b.radius[q]))
         down_b = ~twin & ~down_a
-        np_, nq = [], []
-        for i in p[twin]:
-            k = np.arange(a.child[i], a.child[i] + a.children[i])
-            u, v = np.triu_indices(len(k))
-            np_.append(k[u])
-            nq.append(k[v])
-        for down, tree, one, other in ((down_a, a, p, q), (down_b, b, q, p)):
-            n = tree.children[one[down]]
-            kids = np.repeat(tree.child[one[down]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            pair = (kids, np.repeat(other[down], n))
-            np_.append(pair[0] if tree is a and down is down_a else pair[1])
-            nq.append(pair[1] if tree is a and down is down_a else pair[0])
-        p, q = np.concatenate(np_), np.concatenate(nq)
+        twins = [np.triu_indices(a.children[i]) for i in p[twin]]
+        first, more_a = a.nodes_below(p[down_a])
+        second, more_b = b.nodes_below(q[down_b])
+        next_p = [a.child[i] + u for i, (u, _) in zip(p[twin], twins)] + [first, np.repeat(p[down_b], more_b)]
+        next_q = [a.child[i] + v for i, (_, v) in zip(p[twin], twins)] + [np.repeat(q[down_a], more_a), second]
+        p, q = np.concatenate(next_p), np.concatenate(next_q)
         if same:
             p, q = np.minimum(p, q), np.maximum(p, q)
     flush()
