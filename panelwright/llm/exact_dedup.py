@@ -51,15 +51,18 @@ def keyed_state(stream: DataFrame) -> DataFrame:
     return stream.groupBy("digest").agg(F.max(F.struct("doc_id", FILE, ROW)).alias("keep"), F.count("*").alias("group_size"))
 
 
-def run_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int) -> DataFrame:
-    """Drain the arrivals table through the keyed state; every batch's changed keys are written once by batch id."""
-    out = scratch(spark, "dedup-updates")
+def run_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int, home: str | None = None) -> DataFrame:
+    """Drain the arrivals table through the keyed state; every batch's changed keys are written once by batch id.
+
+    With ``home`` the state is kept there, and a later call takes only the files that have arrived since.
+    """
+    out = f"{home}/updates" if home else scratch(spark, "dedup-updates")
     conf = {k: spark.conf.get(k, None) for k in STATE_CONF}
     for k, v in STATE_CONF.items():
         spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(path)
-        check = scratch(spark, "dedup-state")
+        check = f"{home}/state" if home else scratch(spark, "dedup-state")
         query = (
             keyed_state(stream)
             .writeStream.outputMode("update")
@@ -72,9 +75,10 @@ def run_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: in
     finally:
         for k, v in conf.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    discard(spark, check)
+    if not home:
+        discard(spark, check)
     state = f"digest string, keep struct<doc_id: long, {FILE}: long, {ROW}: long>, group_size long"
-    spark.createDataFrame([], state).write.mode("append").parquet(f"{out}/batch=-1")
+    spark.createDataFrame([], state).write.mode("overwrite").parquet(f"{out}/batch=-1")
     return spark.read.schema(state).parquet(out).groupBy("digest").agg(F.max("keep").alias("keep"), F.max("group_size").alias("group_size"))
 
 

@@ -396,6 +396,15 @@ def test_exact_dedup_over_many_batches(spark, odd, sample, texts):
     assert all(r.digest == hashlib.sha256(texts[r.doc_id].encode().translate(LOW)).hexdigest() for r in got)
 
 
+def test_state_outlives_a_run(spark, tmp_path):
+    path, home = str(tmp_path / "in"), str(tmp_path / "home")
+    for k, rows in enumerate(([(1, "a"), (2, "b")], [(7, "A"), (0, "b"), (5, "c")])):
+        seen = exact_dedup.arrivals(common.located(docs_of(spark, rows)))
+        seen.coalesce(1).write.mode("append").parquet(path)
+        got = {r.keep["doc_id"]: r.group_size for r in exact_dedup.run_stream(spark, path, seen.schema, 10, home).collect()}
+        assert got == ({1: 1, 2: 1} if k == 0 else {7: 2, 2: 2, 5: 1})
+
+
 def test_full_bytes_decide_under_a_weak_digest(spark, texts):
     """One hexadecimal digit as digest: most rows collide, and only their bytes tell them apart."""
     rows = list(texts.items())[:60] + [(9001, "Same"), (9002, "same"), (9003, "sAme"), (9004, None)]
