@@ -55,7 +55,10 @@ class Codec:
 
     def verified(self, keys: np.ndarray) -> np.ndarray:
         """Compatibility of every pair key (a << 20 | b)."""
-        known = np.isin(keys, self.pair_key)
+        at = np.searchsorted(self.pair_key, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.pair_key)
+        known[inside] = self.pair_key[at[inside]] == keys[inside]
         if not known.all():
             new = np.unique(keys[~known])
             if len(self.pair_key) > 2 * MEMO:

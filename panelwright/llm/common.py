@@ -6,6 +6,9 @@ Shared storage: intermediate tables go under the folder that the cluster names i
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import string
 import tempfile
 import uuid
@@ -17,6 +20,9 @@ from pyspark.sql import functions as F
 #: A row set is broadcast only when its counted rows (two or three longs each) are at most this many.
 BROADCAST_ROWS = 200_000
 
+#: Rows of a batch that goes to a Python worker: texts may be long.
+BATCH_ROWS = 1000
+
 #: Byte table that lower-cases A-Z only.
 LOWER_BYTES = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 
@@ -27,6 +33,7 @@ FILE, ROW = "_loc_file", "_loc_row"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -88,6 +95,13 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(size_checked(dropped, dropped.count()), [FILE, ROW], "left_anti").drop(FILE, ROW)
 
 
+def trim() -> None:
+    """Hand freed memory of a Python worker back to the system: workers outlive tasks and stages, and share an executor's memory."""
+    gc.collect()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lower_az(c: Column) -> Column:
     return F.translate(F.coalesce(c, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 

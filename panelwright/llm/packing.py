@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelwright.llm.bytebpe import MEMO, byte_letters
-from panelwright.llm.common import materialize, size_checked, table
+from panelwright.llm.bytebpe import byte_letters
+from panelwright.llm.common import materialize, size_checked, table, trim
 
 WORD_BPE = "word_bpe_49k.json"
 #: Fixed value: the tokenizer's word pattern, and what it comes to on lower-case ASCII.
@@ -40,6 +40,8 @@ ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").fin
 MAX_LEN = 2048
 #: More than the documents of any one length.
 RANKS = 1 << 44
+#: Segments and words that a worker remembers; a bound on memory, not on results.
+SEGMENTS, WORDS_KEPT = 250_000, 150_000
 CLOSING = b"\0\0\0\0"
 #: Separators that str.split() has beyond the tokenizer's white space; texts that hold one are encoded whole.
 ODD = "\x1c\x1d\x1e\x1f"
@@ -71,7 +73,7 @@ class WordIds(dict):
         return ids
 
     def learn(self, segments: list[str]) -> None:
-        if len(self.words) > MEMO // 2:
+        if len(self.words) > WORDS_KEPT:
             self.words.clear()
         known, word = self.words.get, self.word
         plain = [s for s in segments if s.isascii() and "<|" not in s]
@@ -93,7 +95,7 @@ class WordIds(dict):
         for k in odd:
             split[k] = []
         seen = set().union(*split)
-        if len(self) > MEMO:
+        if len(self) > SEGMENTS:
             self.clear()
         self.learn([s for s in seen if s not in self])
         out = [b"".join(map(self.__getitem__, s)) for s in split]
@@ -129,6 +131,7 @@ def pieces(docs: DataFrame, max_len: int = MAX_LEN, path: str | None = None, wit
                             ids.append(np.frombuffer(part, "<i4"))
                 columns = [pa.array(c, pa.int32() if n in ("piece", "task") else pa.int64()) for n, c in zip(names, zip(*rows) if rows else [[]] * 7)]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names + ["ids"] * with_ids)
+        trim()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long" + ", ids array<int>" * with_ids
     return docs.select("doc_id", "text").mapInArrow(run, schema)

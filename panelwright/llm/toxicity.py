@@ -22,6 +22,7 @@ import re
 import sys
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm.bytebpe import MEMO
-from panelwright.llm.common import table
+from panelwright.llm.common import table, trim
 
 FIT_DOCS, FIT_CHARS = 3000, 50_000
 PREFIXES = (3, 4, 5, 6, 7)
 SEGMENT, FIT_SEGMENT, FIT_SEGMENTS = 64, 32, 8000
-TOKENS_AT_ONCE = 400_000
+TOKENS_AT_ONCE = 150_000
+#: Words that a worker remembers; a bound on memory, not on results.
+WORDS_KEPT = 200_000
 ROUNDS, RATE, RIDGE = 120, 0.8, 1e-4
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -108,7 +110,7 @@ class Emissions(dict):
         self.model = model
 
     def __missing__(self, word: str) -> float:
-        if len(self) > MEMO:
+        if len(self) > WORDS_KEPT:
             self.clear()
         get = self.model.weight.get
         e = self[word] = self.model.bias + sum(get(f, 0.0) for f in features(word))
@@ -336,10 +338,10 @@ class Scorer:
         if self.model.constant is not None:
             return np.full(len(texts), self.model.constant)
         out = np.empty(len(texts))
-        for at in range(0, len(texts), 500):
-            words = [WORD.findall(t) if t else [] for t in texts[at : at + 500]]
+        for at in range(0, len(texts), 200):
+            words = [WORD.findall(t) if t else [] for t in texts[at : at + 200]]
             x = summary(self.marginals(words), np.array([len(w) for w in words], np.int64))
-            out[at : at + 500] = 1 / (1 + np.exp(-np.clip(x @ self.model.calibration, -30, 30)))
+            out[at : at + 200] = 1 / (1 + np.exp(-np.clip(x @ self.model.calibration, -30, 30)))
         return out
 
     def spans(self, text: str | None, least: float = 0.5) -> list[tuple[int, int, float]]:
@@ -353,13 +355,14 @@ class Scorer:
 def toxicity(docs: DataFrame, model: Crf) -> DataFrame:
     """``docs`` with a column toxicity_score (a column of that name is replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # features of the bounded sample
-    scorers: list[Scorer] = []
 
     @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        if not scorers:
-            scorers.append(Scorer(shared.value))
-        return pd.Series(scorers[0].score(text.where(text.notna(), None).tolist()))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(shared.value)
+        for text in batches:
+            yield pd.Series(scorer.score(text.where(text.notna(), None).tolist()))
+        del scorer
+        trim()
 
     return docs.withColumn("toxicity_score", score("text"))
 
