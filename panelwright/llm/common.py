@@ -1,7 +1,10 @@
 """Helpers that the training-data operators share.
 
 Shared storage: intermediate tables go under the folder that the cluster names in
-``spark.checkpoint.dir``. Only where that setting is absent (tests) is a folder of our own used.
+``spark.checkpoint.dir``, in one folder for each application. Only where that setting is absent and
+the master is a single local process (tests) is a folder of our own used; elsewhere that is an error.
+Tables that only an operator's own steps read are deleted as it goes; a returned plan still reads the
+others, so ``clear_scratch`` is for the caller, after the results have been written.
 """
 
 from __future__ import annotations
@@ -9,19 +12,21 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import string
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A row set is broadcast only when its counted rows (two or three longs each) are at most this many.
 BROADCAST_ROWS = 200_000
 
-#: Rows of a batch that goes to a Python worker: texts may be long.
-BATCH_ROWS = 1000
+#: Rows and bytes that a Python worker handles at once: Spark bounds its batches by bytes too, but more loosely.
+BATCH_ROWS, BATCH_BYTES = 4000, 16 << 20
 
 #: Byte table that lower-cases A-Z only.
 LOWER_BYTES = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
@@ -33,23 +38,41 @@ FILE, ROW = "_loc_file", "_loc_row"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batches, column: str = "text", rows: int | None = None, size: int | None = None):
+    """The batches in parts of at most so many rows and about so many bytes of a column (one row at least)."""
+    rows, size = rows or BATCH_ROWS, size or BATCH_BYTES
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def shared_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir", None)
+    root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="panelwright-"))
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="panelwright-"))
         root = sc.getCheckpointDir()
-    return root.rstrip("/")
+    return f"{root.rstrip('/')}/panelwright/{sc.applicationId}"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_root(spark)}/panelwright/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this application's operators wrote; results that still read it must have been saved before."""
+    discard(spark, shared_root(spark))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -57,13 +80,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate table that no returned plan reads any more."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def discard(spark: SparkSession, *what: str | DataFrame) -> None:
+    """Delete intermediate tables that no returned plan reads any more."""
+    for x in what:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x if isinstance(x, str) else x.scratch_path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def plain_scan(df: DataFrame) -> bool:
@@ -79,9 +105,11 @@ def stable(df: DataFrame, name: str = "docs") -> DataFrame:
     return df if plain_scan(df) else materialize(df, name)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """Add a locator (file key, row in file) that is unique and stable for every row."""
-    return stable(docs).select("*", F.xxhash64("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
+def located(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """The columns and a locator (file key, row in file) that is unique and stable for every row; a clash with the table's own names does no harm."""
+    docs = stable(docs)
+    where = docs.metadataColumn("_metadata")
+    return docs.select(*columns, F.xxhash64(where["file_path"]).alias(FILE), where["row_index"].alias(ROW))
 
 
 def size_checked(df: DataFrame, rows: int) -> DataFrame:
@@ -90,9 +118,10 @@ def size_checked(df: DataFrame, rows: int) -> DataFrame:
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of a located frame whose locator is not in ``dropped``; the locator goes."""
+    """Rows of a stable frame whose locator is not in ``dropped``, with all its columns."""
     dropped = materialize(dropped.select(FILE, ROW), "dropped")
-    return docs.join(size_checked(dropped, dropped.count()), [FILE, ROW], "left_anti").drop(FILE, ROW)
+    rows = located(docs, F.struct("*").alias("row"))
+    return rows.join(size_checked(dropped, dropped.count()), [FILE, ROW], "left_anti").select("row.*")
 
 
 def trim() -> None:
@@ -128,10 +157,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         low = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "cc-min")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialize(norm(large), "cc-large")
-        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "cc-min")
-        small = large.join(low, "a")
-        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        cur = materialize(norm(small), "cc")
+        mins = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "cc-min")
+        small = large.join(mins, "a")
+        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(mins.select("a", F.col("m").alias("b")))
+        old, cur = cur, materialize(norm(small), "cc")
+        discard(spark, old, low, large, mins)
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -85,7 +85,7 @@ def run_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: in
 def exact_dedup(docs: DataFrame, max_files_per_trigger: int = 256, digest_chars: int = 64) -> DataFrame:
     """One row per document row: doc_id, locator, digest, keep (struct), group_size, kept."""
     spark = docs.sparkSession
-    rows = located(docs)
+    rows = located(docs, "doc_id", "text")
     seen = materialize(arrivals(rows, digest_chars), "dedup-arrivals")
     path = seen.inputFiles()[0].rpartition("/")[0] if seen.inputFiles() else None
     if path is None:
@@ -119,7 +119,7 @@ def keep_first_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with the columns of ``docs``."""
     docs = stable(docs)
     decisions = exact_dedup(docs)
-    return without(located(docs), decisions.where("not kept")).select(*docs.columns)
+    return without(docs, decisions.where("not kept"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,7 +111,7 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
 
 def simhash_dedup(docs: DataFrame, width: int = 3) -> DataFrame:
     """One row per document row: doc_id, locator, fp, component_id, kept (one row of each component)."""
-    prints = materialize(fingerprints(located(docs), width), "simhash-fp")
+    prints = materialize(fingerprints(located(docs, "doc_id", "text"), width), "simhash-fp")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", FILE, ROW)).alias("first")
     distinct = materialize(prints.groupBy("fp").agg(first), "simhash-distinct")
     comp = connected_components(links(distinct.select("fp"), distinct.count()))
@@ -126,7 +126,7 @@ def simhash_dedup(docs: DataFrame, width: int = 3) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each component (the smallest doc_id), with the columns of ``docs``."""
     docs = stable(docs)
-    return without(located(docs), simhash_dedup(docs).where("not kept")).select(*docs.columns)
+    return without(docs, simhash_dedup(docs).where("not kept"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
