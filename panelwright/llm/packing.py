@@ -15,6 +15,7 @@ Defined results: a null text is empty and has the one closing id; only documents
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -23,114 +24,182 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelwright.llm.bytebpe import byte_letters
-from panelwright.llm.common import materialize, size_checked, table, trim
+from panelwright.llm.codepoints import BLANK, regex_classes, unlike
+from panelwright.llm.common import materialize, size_checked, slices, table, trim
+from panelwright.llm.memo import HashMemo, digests, spread
 
 WORD_BPE = "word_bpe_49k.json"
-#: Fixed value: the tokenizer's word pattern, and what it comes to on lower-case ASCII.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+").findall
-ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+#: Fixed value: the tokenizer's word pattern, with a space as a word of its own, and what it comes to on lower-case ASCII with a line end as a word of its own.
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]| |[^\p{White_Space}\p{L}\p{N}]+").findall
+ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|\n|[^a-z0-9\n]+").findall
 MAX_LEN = 2048
 #: More than the documents of any one length.
 RANKS = 1 << 44
-#: Segments and words that a worker remembers; a bound on memory, not on results.
-SEGMENTS, WORDS_KEPT = 250_000, 150_000
-CLOSING = b"\0\0\0\0"
-#: Separators that str.split() has beyond the tokenizer's white space; texts that hold one are encoded whole.
-ODD = "\x1c\x1d\x1e\x1f"
+#: Segments that a worker remembers; a bound on memory, not on results.
+SEGMENTS = 1_000_000
+CLOSING = 0
+END = b"\0"  # stands for the end-of-word suffix
 
 
-class WordIds(dict):
+def word_encoding(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
+    """Words that end with ``END`` to ranks in one native call, and the id of every rank.
+
+    A BPE with an end-of-word suffix is a plain byte BPE over words that end with a byte of their
+    own: ranks are bytes, bytes with the suffix, then the merges in their order. Words that hold
+    the byte itself are left to the library.
+    """
+    model = json.load(open(path, encoding="utf-8"))["model"]
+    suffix, vocab, letters = model["end_of_word_suffix"], model["vocab"], byte_letters()
+
+    def raw(token: str) -> bytes:
+        ends = token.endswith(suffix)
+        return bytes(letters[c] for c in (token[: -len(suffix)] if ends else token)) + END * ends
+
+    base = [c + e for e in ("", suffix) for c in letters]
+    merged = [a + b for a, b in (m.split(" ") if isinstance(m, str) else m for m in model["merges"])]
+    ranks: dict[bytes, int] = {}
+    ids = np.zeros(len(base) + len(merged), "<u4")
+    for rank, token in enumerate(base + merged):
+        ids[rank] = vocab[token]
+        if END not in raw(token)[:-1] and token != "\u0100":
+            ranks.setdefault(raw(token), rank)
+    ranks[END] = len(ids)  # never left alone: every byte merges with it first
+    return tiktoken.Encoding("words", pat_str=r"[^\x00]*\x00", mergeable_ranks=ranks, special_tokens={}), ids
+
+
+class WordIds:
     """Ids of white-space separated segments; the tokenizer drops white space and no word spans it.
 
-    A new segment is normalised by the library and cut into words by its pattern; the library's
-    model gives the ids of each new word. Segments and words are remembered up to a bound.
+    New segments are normalised by the library, cut into words by its pattern and merged in one
+    native call. Segments that hold a special string, a zero byte, white space beyond ASCII or a
+    character that the library's tables class otherwise than ``regex`` (``unlike``) are encoded by
+    the library whole. Segments are remembered up to a bound.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, unlike: frozenset[str]):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.letters = {b: c for c, b in byte_letters().items()}
-        self.words: dict[str, bytes] = {}
+        self.encoding, self.id_of = word_encoding(path)
+        self.apart = unlike | frozenset(map(chr, np.flatnonzero(regex_classes() == BLANK).tolist())) - {" "}
+        self.segments = HashMemo(SEGMENTS, "<u2" if len(self.id_of) < 1 << 16 else "<u4")
 
     def by_library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def word(self, w: str) -> bytes:
-        letters = w.encode().decode("latin-1").translate(self.letters)
-        ids = self.words[w] = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
-        return ids
-
-    def learn(self, segments: list[str]) -> None:
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-        known, word = self.words.get, self.word
-        plain = [s for s in segments if s.isascii() and "<|" not in s]
-        for s in plain:
-            self[s] = b"".join([known(w) or word(w) for w in ASCII_WORDS(s.lower())])
-        other = [s for s in segments if not s.isascii() or "<|" in s]
-        marked = [s for s in other if any(t in s for t in self.special)]
-        rest = [s for s in other if s not in set(marked)] if marked else other
-        normal = self.tokenizer.normalizer.normalize_str(" ".join(rest)).split(" ") if rest else []
-        if len(normal) != len(rest):
-            marked, rest, normal = marked + rest, [], []
-        for s, n in zip(rest, normal):
-            self[s] = b"".join([known(w) or word(w) for w in WORDS(n)])
-        self.update(zip(marked, self.by_library(marked)))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").split() for t in texts]
-        odd = [k for k, t in enumerate(texts) if t and any(c in t for c in ODD)]
-        for k in odd:
-            split[k] = []
-        seen = set().union(*split)
-        if len(self) > SEGMENTS:
-            self.clear()
-        self.learn([s for s in seen if s not in self])
-        out = [b"".join(map(self.__getitem__, s)) for s in split]
-        for k, ids in zip(odd, self.by_library([texts[k] for k in odd])):
-            out[k] = ids
-        return out
+    def cut(self, words: list[str], mark: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a run of words, and how many stand between its marks, which are words of their own."""
+        words.append("")
+        rank = np.array(self.encoding.encode_ordinary("\0".join(words)), np.int64)
+        words.pop()
+        here = rank == self.encoding.encode_single_token(mark + "\0")
+        return self.id_of[rank[~here]], np.diff(np.append(np.flatnonzero(here), len(rank)), prepend=-1) - 1
+
+    def learn(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all segments, one's after the other, and how many each has."""
+        n = len(segments)
+        size, parts = np.zeros(n, np.int64), []
+        ascii_ = np.fromiter(map(str.isascii, segments), bool, n)
+        apart = np.fromiter((("<|" in s and any(t in s for t in self.special)) or "\0" in s or not (a or self.apart.isdisjoint(s)) for s, a in zip(segments, ascii_.tolist())), bool, n)
+        plain, other, whole = np.flatnonzero(ascii_ & ~apart), np.flatnonzero(~ascii_ & ~apart), np.flatnonzero(apart)
+        order = []
+        if len(other):
+            normal = WORDS(self.tokenizer.normalizer.normalize_str(" ".join([segments[k] for k in other.tolist()])))
+            if normal.count(" ") == len(other) - 1:
+                ids, size[other] = self.cut(normal, " ")
+                parts.append(ids)
+                order.append(other)
+            else:
+                whole = np.concatenate([whole, other])
+        if len(plain):
+            ids, size[plain] = self.cut(ASCII_WORDS("\n".join([segments[k] for k in plain.tolist()]).lower()), "\n")
+            parts.append(ids)
+            order.append(plain)
+        if len(whole):
+            ids = self.by_library([segments[k] for k in whole.tolist()])
+            size[whole] = [len(x) // 4 for x in ids]
+            parts.append(np.frombuffer(b"".join(ids), "<u4"))
+            order.append(whole)
+        order = np.concatenate([*order, np.zeros(0, np.int64)]).astype(np.int64)
+        ids = np.concatenate([*parts, np.zeros(0, "<u4")])
+        start = np.zeros(n, np.int64)
+        start[order] = np.cumsum(size[order]) - size[order]
+        return ids[spread(start, size)], size
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts with the closing id after each, and how many each text has."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = split.flatten().dictionary_encode()
+        raw = words.dictionary.cast(pa.binary()).to_pylist()
+        h = digests(raw)
+        at = self.segments.find(h)
+        old, new = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        ids, some = self.segments.take(at[old])
+        learnt, more = self.learn([raw[k].decode() for k in new.tolist()])
+        if len(new):
+            self.segments.add(h[new], more, learnt)
+        # Ids of the batch's distinct segments, the closing id last; then all segments' in their order.
+        ids = np.concatenate([ids, learnt, np.array([CLOSING], "<u4")])
+        size = np.zeros(len(raw) + 1, np.int64)
+        size[old], size[new], size[-1] = some, more, 1
+        start = np.zeros(len(raw) + 1, np.int64)
+        at = np.concatenate([old, new, [len(raw)]])
+        start[at] = np.cumsum(size[at]) - size[at]
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        every = np.insert(words.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, len(raw))
+        last = ends + np.arange(len(ends))  # of each text's segments, its closing id
+        per = np.cumsum(size[every])[last]
+        return ids[spread(start[every], size[every])], np.diff(per, prepend=0)
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str | None = None) -> WordIds:
-    return WordIds(path or public_tokenizers.path(WORD_BPE))
+def word_ids(path: str, unlike: frozenset[str]) -> WordIds:
+    return WordIds(path, unlike)
+
+
+def tokenizer_path(path: str | None) -> str:
+    return path or public_tokenizers.path(WORD_BPE)
 
 
 def pieces(docs: DataFrame, max_len: int = MAX_LEN, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Pieces of every document: doc_id, piece, start, length, ids_crc32, and the task and running number that rank it; ids on request."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"]
-    step = 4 * max_len
+    path, apart = tokenizer_path(path), unlike(tokenizer_path(path))
 
     def run(batches):
-        task, seen, encoder = TaskContext.get().partitionId(), Counter(), word_ids(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                rows, ids = [], []
-                for doc, x in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist())):
-                    x += CLOSING
-                    for k, s in enumerate(range(0, len(x), step)):
-                        part = x[s : s + step]
-                        n = len(part) // 4
-                        rows.append((doc, k, s // 4, n, zlib.crc32(part), task, seen[n]))
-                        seen[n] += 1
-                        if with_ids:
-                            ids.append(np.frombuffer(part, "<i4"))
-                columns = [pa.array(c, pa.int32() if n in ("piece", "task") else pa.int64()) for n, c in zip(names, zip(*rows) if rows else [[]] * 7)]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names + ["ids"] * with_ids)
+        task, seen, encoder = TaskContext.get().partitionId(), Counter(), word_ids(path, apart)
+        for b in slices(batches):
+            ids, size = encoder.encode(b.column("text"))
+            raw, count = memoryview(np.ascontiguousarray(ids)).cast("B"), -(-size // max_len)
+            doc = np.repeat(np.arange(len(size)), count)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+            start = piece * max_len
+            length = np.minimum(max_len, size[doc] - start)
+            at = (np.cumsum(size) - size)[doc] + start
+            crc = [zlib.crc32(raw[4 * a : 4 * e]) for a, e in zip(at.tolist(), (at + length).tolist())]
+            nth = np.empty(len(doc), np.int64)
+            order = np.argsort(length, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else ():
+                n = int(length[part[0]])
+                nth[part] = seen[n] + np.arange(len(part))
+                seen[n] += len(part)
+            columns = [b.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), task, np.int32)), pa.array(nth)]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(ids.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names + ["ids"] * with_ids)
         trim()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long" + ", ids array<int>" * with_ids
