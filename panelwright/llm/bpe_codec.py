@@ -3,7 +3,9 @@
 Greedy longest match over the vocabulary proposes the tokens of every new word of a batch; one
 vectorised check tests all adjacent pairs of all proposals for compatibility (a pair is compatible
 if merging its bytes gives the pair again, and a word whose pairs all are is encoded right); only
-failing words undergo exact merging. Words are remembered by the worker up to a bound.
+failing words undergo exact merging. Words are remembered by the worker up to a bound. Texts with a
+character that the library's tables class otherwise than those used here (``codepoints.unlike``) are
+cut into words by the library's own pre-tokenizer.
 
 Defined results: a null text is empty and has no tokens; special strings in a text become their
 id, as the library has it by default, and are kept by decoding; repeated rows are encoded each;
@@ -20,8 +22,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm.bytebpe import MEMO, ByteBpe, byte_bpe, split_special
-from panelwright.llm.common import table
+from panelwright.llm.bytebpe import MEMO, ByteBpe, byte_bpe, split_special, tokenizer_path
+from panelwright.llm.codepoints import unlike
+from panelwright.llm.common import slices, table
 
 #: Fixed value: the word pattern of the byte-level pre-tokenizer.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -29,8 +32,8 @@ CHARS_AT_ONCE = 2_000_000
 
 
 class Codec:
-    def __init__(self, bpe: ByteBpe):
-        self.bpe = bpe
+    def __init__(self, bpe: ByteBpe, path: str, unlike: frozenset[str]):
+        self.bpe, self.path, self.unlike, self.pre = bpe, path, unlike, None
         self.ids_of: dict[str, bytes] = {}
         self.pair_key = np.zeros(0, np.int64)  # sorted, with the verdict of each
         self.pair_good = np.zeros(0, bool)
@@ -86,6 +89,15 @@ class Codec:
             ids[k] = self.bpe.exact(raw[k])
         self.ids_of |= {w: np.array(x, "<u4").tobytes() for w, x in zip(words, ids)}
 
+    def cut(self, text: str) -> list[str]:
+        if text.isascii() or self.unlike.isdisjoint(text):
+            return WORDS.findall(text)
+        if self.pre is None:
+            from tokenizers import Tokenizer
+
+            self.pre = Tokenizer.from_file(self.path).pre_tokenizer
+        return [text[a:b] for _, (a, b) in self.pre.pre_tokenize_str(text)]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
         out, at = [], 0
@@ -93,7 +105,7 @@ class Codec:
             parts, chars = [], 0
             while at < len(texts) and chars < CHARS_AT_ONCE:
                 text = texts[at] or ""
-                parts.append([x if isinstance(x, int) else WORDS.findall(x) for x in split_special(text, self.bpe.special)])
+                parts.append([x if isinstance(x, int) else self.cut(x) for x in split_special(text, self.bpe.special)])
                 chars += len(text)
                 at += 1
             if len(self.ids_of) > MEMO:
@@ -110,16 +122,23 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str | None = None) -> Codec:
-    return Codec(byte_bpe(path))
+def codec(path: str, unlike: frozenset[str]) -> Codec:
+    return Codec(byte_bpe(path), path, unlike)
+
+
+def here(path: str | None = None) -> tuple[str, frozenset[str]]:
+    """What ``codec`` takes; worked out once on the driver."""
+    path = tokenizer_path(path)
+    return path, unlike(path)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and ids (array of int) of every row."""
+    which = here(path)
 
     def run(batches):
-        for b in batches:
-            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in codec(path).encode(b.column("text").to_pylist())]
+        for b in slices(batches):
+            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in codec(*which).encode(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -127,10 +146,11 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and text of every row of ids; null ids give a null text."""
+    which = here(path)
 
     def run(batches):
         for b in batches:
-            text = [None if x is None else codec(path).decode(np.array(x, "<u4").tobytes()) for x in b.column("ids").to_pylist()]
+            text = [None if x is None else codec(*which).decode(np.array(x, "<u4").tobytes()) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(text, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -138,11 +158,12 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 def round_trip_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; encodes and decodes without moving ids between processes."""
+    which = here(path)
 
     def run(batches):
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for b in batches:
-            c = codec(path)
+        for b in slices(batches):
+            c = codec(*which)
             ids = c.encode(b.column("text").to_pylist())
             n = pa.array([len(x) // 4 for x in ids], pa.int64())
             back = pa.array([sha(c.decode(x).encode()) for x in ids], pa.string())

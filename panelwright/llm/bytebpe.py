@@ -91,9 +91,13 @@ class ByteBpe:
         return known
 
 
+def tokenizer_path(path: str | None = None) -> str:
+    return path or public_tokenizers.path(BYTE_BPE)
+
+
 @lru_cache(maxsize=2)
-def byte_bpe(path: str | None = None) -> ByteBpe:
-    return ByteBpe(path or public_tokenizers.path(BYTE_BPE))
+def byte_bpe(path: str) -> ByteBpe:
+    return ByteBpe(path)
 
 
 def split_special(text: str, special: dict[str, int]) -> list[str | int]:

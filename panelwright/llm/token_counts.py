@@ -1,12 +1,14 @@
 """Token counts from compiled finite-state transducers.
 
 Two deterministic transducers are compiled from a byte-level BPE tokenizer. The first reads
-character classes and marks where words begin; text is cut into chunks of equal length, every
-chunk's map from entry state to exit state is computed in lock step, the maps are composed by a
-parallel prefix scan, and a second pass from the known entry states writes the marks. The second
-reads the bytes of a word; a state holds the open vocabulary prefixes with the last token before
-each, and every transition is annotated with the change in emitted tokens. Its transitions are
-compiled when first taken and kept by the worker.
+character classes, as the tokenizer's own pre-tokenizer has them, and marks where words begin; text
+is cut into chunks of equal length, every chunk's map from entry state to exit state is computed in
+lock step, the maps are composed by a parallel prefix scan, and a second pass from the known entry
+states writes the marks. The second reads the bytes of a word; a state holds the open vocabulary
+prefixes with the last token before each, and every transition is annotated with the change in
+emitted tokens. Its transitions are compiled when first taken and kept by the worker. The byte
+transducer starts anew with each word, so only word boundaries need the scan: emitted counts are
+added up over a text by a prefix sum, not carried through the chunk maps.
 
 Defined results: a null text is empty and has no tokens; special strings in a text count as one
 token, as the library has it by default; repeated rows are counted each; other columns are ignored.
@@ -14,15 +16,19 @@ token, as the library has it by default; repeated rows are counted each; other c
 
 from __future__ import annotations
 
-import unicodedata
+import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm.bytebpe import MEMO, ByteBpe, byte_bpe, split_special
-from panelwright.llm.common import table
+from panelwright.llm.bytebpe import MEMO, ByteBpe, byte_bpe, split_special, tokenizer_path
+from panelwright.llm.codepoints import BLANK as WHITE
+from panelwright.llm.codepoints import LETTER as LETTERS
+from panelwright.llm.codepoints import NUMBER as NUMBERS
+from panelwright.llm.codepoints import library_classes
+from panelwright.llm.common import slices, table
 
 LIMIT = 512
 CHUNK = 128
@@ -30,20 +36,21 @@ CHARS_AT_ONCE = 1_000_000
 SPACE, BLANK, LETTER, NUMBER, OTHER, QUOTE, STMD, R, V, L, E, END = range(12)
 OPEN, WORD, DIGITS, SIGNS, ONE_SPACE, ONE_BLANK, MORE_SPACE, MORE_BLANK, QUOTED, QUOTED_R, QUOTED_V, QUOTED_L = range(12)
 HERE, BEFORE = 1, 2
-#: The code points with the property White_Space, without the space.
-WHITE_SPACE = [9, 10, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
-@lru_cache(maxsize=1)
-def char_classes() -> np.ndarray:
-    out = np.full(0x110000, OTHER, np.uint8)
-    for c in range(0x110000):
-        kind = unicodedata.category(chr(c))[0]
-        if kind in "LN":
-            out[c] = LETTER if kind == "L" else NUMBER
-    out[WHITE_SPACE] = BLANK
-    for chars, kind in ((" ", SPACE), ("'", QUOTE), ("stmd", STMD), ("r", R), ("v", V), ("l", L), ("e", E)):
-        out[[ord(c) for c in chars]] = kind
+def packed_classes(path: str) -> bytes:
+    """The tokenizer's code point classes, small enough to go with every task."""
+    return zlib.compress(library_classes(path).tobytes())
+
+
+@lru_cache(maxsize=2)
+def char_classes(packed: bytes) -> np.ndarray:
+    kind = np.frombuffer(zlib.decompress(packed), np.uint8)
+    out = np.full(len(kind), OTHER, np.uint8)
+    for a, b in ((LETTERS, LETTER), (NUMBERS, NUMBER), (WHITE, BLANK)):
+        out[kind == a] = b
+    for chars, b in ((" ", SPACE), ("'", QUOTE), ("stmd", STMD), ("r", R), ("v", V), ("l", L), ("e", E)):
+        out[[ord(c) for c in chars]] = b
     return out
 
 
@@ -168,12 +175,12 @@ class WordCounts(dict):
 
 
 @lru_cache(maxsize=2)
-def counter(path: str | None = None) -> WordCounts:
+def counter(path: str) -> WordCounts:
     return WordCounts(byte_bpe(path))
 
 
-def count_tokens(texts: list[str | None], path: str | None = None) -> list[int]:
-    counts = counter(path)
+def count_tokens(texts: list[str | None], path: str, packed: bytes) -> list[int]:
+    counts, classes = counter(path), char_classes(packed)
     special = counts.bpe.special
     total = [0] * len(texts)
     parts: list[str] = []
@@ -184,7 +191,7 @@ def count_tokens(texts: list[str | None], path: str | None = None) -> list[int]:
         nonlocal chars
         if parts:
             line = "\0".join(parts) + "\0"
-            kinds = char_classes()[np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)]
+            kinds = classes[np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)]
             size = np.fromiter(map(len, parts), np.int64, len(parts))
             ends = np.cumsum(size + 1) - 1
             kinds[ends] = END
@@ -213,11 +220,13 @@ def count_tokens(texts: list[str | None], path: str | None = None) -> list[int]:
 
 def token_counts(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row."""
+    path = tokenizer_path(path)
+    packed = packed_classes(path)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             text = b.column("text").to_pylist()
-            n = np.array(count_tokens(text, path), np.int64)
+            n = np.array(count_tokens(text, path, packed), np.int64)
             size = pa.array([len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in text], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), size, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
