@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import table
+from panelwright.llm.common import slices, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
@@ -161,7 +161,7 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             spans = [[dict(zip(("kind", "start", "end", "score"), s)) for s in find(t)] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, pa.list_(kind))], ["doc_id", "spans"])
 
@@ -172,7 +172,7 @@ def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data masked in text and n_chars brought up to date; null texts stay null."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             text = pa.array([t and mask(t, s) if (s := find(t)) else t for t in b.column("text").to_pylist()], pa.string())
             yield b.set_column(b.schema.get_field_index("text"), pa.field("text", pa.string()), text)
 
@@ -183,16 +183,19 @@ def masked(docs: DataFrame) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, the number of all spans, and their scores in the order of ``spans``."""
+
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             found = [find(t) for t in b.column("text").to_pylist()]
             line = lambda spans: ",".join(f"{k}:{s}:{e}" for k, s, e, _ in spans)
             counts = [pa.array([sum(s[0] == k for s in f) for f in found], pa.int64()) for k in BASE]
             sha = pa.array([hashlib.sha256(line([s for s in f if s[0] in BASE]).encode()).hexdigest() for f in found], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, sha, pa.array([line(f) for f in found], pa.string())], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+            more = [pa.array([line(f) for f in found], pa.string()), pa.array(map(len, found), pa.int64()), pa.array([",".join(f"{s[3]:.2f}" for s in f) for f in found], pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, sha, *more], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans", "scores"])
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, scores string")
 
 
 QUERIES = {"op9_pii": op9_pii}
