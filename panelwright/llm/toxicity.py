@@ -6,13 +6,16 @@ A two-state chain is fitted to these tokens; forward-backward marginals, compute
 in segments whose transfer matrices are linked exactly, give toxic spans, and a small calibration
 fitted on other training documents turns them into a document score.
 
-The fit uses a bounded sample of labelled rows (``FIT_DOCS`` of each class, of at most
-``FIT_CHARS`` characters each); scoring covers every document and every token.
+The fit uses a bounded sample of labelled rows: ``FIT_DOCS`` documents of each class, of at most
+``FIT_CHARS`` characters each, one text for each doc_id. Words are tied to labels by all of the
+sample; the chain's weights are fitted to ``FIT_SEGMENTS`` segments of it, half of them with toxic
+tokens. Scoring covers every document and every token, however long the text.
 
 Defined results: a null or empty text has no tokens and gets the score of a document without
 toxic tokens; a null doc_id counts as held out; labels that are null are ignored, a document with
-several labels counts as toxic if one says so; without labels of both classes the score is the
-share of toxic labels (0 without any).
+several labels counts as toxic if one says so; repeated rows are scored each; without labels of both
+classes the score is the share of toxic labels (0 without any); an empty table gives no rows; extra
+columns are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import table, trim
+from panelwright.llm.common import slices, table, trim
 
 FIT_DOCS, FIT_CHARS = 3000, 50_000
 PREFIXES = (3, 4, 5, 6, 7)
@@ -305,9 +308,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Crf:
     share = n.get(1, 0) / max(1, sum(n.values()))
     picks = [named.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs) for k in (0, 1)]
     picked = docs.select("doc_id", "text").where(F.char_length(F.coalesce("text", F.lit(""))) <= FIT_CHARS).join(F.broadcast(picks[0].union(picks[1])), "doc_id")
-    rows = picked.collect()  # at most 2 * fit_docs documents (and rows that repeat one)
-    rows = sorted({(r["doc_id"], r["text"] or "", r["toxic"]) for r in rows}, key=lambda r: (hash_of(r[0]), r[0], r[1]))
-    return fit([r[1] for r in rows], [r[2] for r in rows], share)
+    text = F.coalesce("text", F.lit(""))
+    one = picked.groupBy("doc_id", "toxic").agg(F.min_by(text, F.xxhash64(text)).alias("text"))
+    rows = sorted(one.collect(), key=lambda r: (hash_of(r["doc_id"]), r["doc_id"]))  # at most 2 * fit_docs
+    return fit([r["text"] for r in rows], [r["toxic"] for r in rows], share)
 
 
 def hash_of(doc_id: int) -> int:
@@ -334,22 +338,28 @@ class Scorer:
     def marginals(self, words: list[list[str]]) -> np.ndarray:
         return np.concatenate([doc_marginals(self.model, words[a:b], self.emissions) for a, b in slices(words)] or [np.zeros(0)])
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
+    def score(self, texts: list[str | None], spans: list[list] | None = None, least: float = 0.5) -> np.ndarray:
+        """Score of every text; the toxic spans (start, end, marginal) of each are added to ``spans``."""
         if self.model.constant is not None:
+            if spans is not None:
+                spans.extend([] for _ in texts)
             return np.full(len(texts), self.model.constant)
         out = np.empty(len(texts))
         for at in range(0, len(texts), 200):
-            words = [WORD.findall(t) if t else [] for t in texts[at : at + 200]]
-            x = summary(self.marginals(words), np.array([len(w) for w in words], np.int64))
-            out[at : at + 200] = 1 / (1 + np.exp(-np.clip(x @ self.model.calibration, -30, 30)))
+            part = texts[at : at + 200]
+            words = [WORD.findall(t) if t else [] for t in part]
+            size = np.array([len(w) for w in words], np.int64)
+            p = self.marginals(words)
+            out[at : at + 200] = 1 / (1 + np.exp(-np.clip(summary(p, size) @ self.model.calibration, -30, 30)))
+            if spans is not None:
+                for t, q in zip(part, np.split(p, np.cumsum(size)[:-1])):
+                    hit = q >= least
+                    spans.append([(*m.span(), x) for m, h, x in zip(WORD.finditer(t), hit.tolist(), q.tolist()) if h] if hit.any() else [])
         return out
 
     def spans(self, text: str | None, least: float = 0.5) -> list[tuple[int, int, float]]:
-        found = list(WORD.finditer(text or ""))
-        if not found or self.model.constant is not None:
-            return []
-        p = self.marginals([[m[0] for m in found]])
-        return [(*m.span(), float(q)) for m, q in zip(found, p) if q >= least]
+        self.score([text], out := [], least)
+        return out[0]
 
 
 def toxicity(docs: DataFrame, model: Crf) -> DataFrame:
@@ -368,17 +378,21 @@ def toxicity(docs: DataFrame, model: Crf) -> DataFrame:
 
 
 def toxic_spans(docs: DataFrame, model: Crf, least: float = 0.5) -> DataFrame:
-    """doc_id and the toxic tokens' code point offsets with their marginals."""
+    """doc_id, score, and the toxic tokens' code point offsets with their marginals."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())])
 
     def run(batches):
         scorer = Scorer(shared.value)
-        for b in batches:
-            spans = [[dict(zip(("start", "end", "marginal"), s)) for s in scorer.spans(t, least)] for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, pa.list_(kind))], ["doc_id", "spans"])
+        for b in slices(batches):
+            found: list[list] = []
+            score = scorer.score(b.column("text").to_pylist(), found, least)
+            spans = [[dict(zip(("start", "end", "marginal"), s)) for s in f] for f in found]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score), pa.array(spans, pa.list_(kind))], ["doc_id", "score", "spans"])
+        del scorer
+        trim()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, spans array<struct<start: long, end: long, marginal: double>>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, spans array<struct<start: long, end: long, marginal: double>>")
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -388,10 +402,11 @@ def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and the offending offsets as start:end, comma-joined."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    d = toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
-    score = F.col("toxicity_score")
-    return d.select("doc_id", (bucket(5) == 0).alias("held_out"), score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).alias("predicted"))
+    d = toxic_spans(docs, train(docs, table(spark, sf_dir, "labels")))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return d.select("doc_id", (bucket(5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), spans.alias("spans"))
 
 
 QUERIES = {"op6_toxicity": op6_toxicity}
