@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from urllib.parse import urlparse
 
 import numpy as np
+from pyarrow import fs
 
 U1, U64 = np.uint64(1), np.uint64(64)
 
@@ -101,25 +103,40 @@ class EliasFano:
         return np.where((at < self.n) & (self.get(safe) == x.astype(np.uint64)), at, -1)
 
 
+def resolve(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI: local ones and those that pyarrow knows (hdfs, s3, gs, ...)."""
+    where = urlparse(path)
+    if where.scheme in ("", "file"):
+        return fs.LocalFileSystem(), where.path
+    return fs.FileSystem.from_uri(path)
+
+
 def save(path: str, arrays: dict[str, np.ndarray]) -> None:
-    """One file with all arrays; written aside and renamed, so a task that runs twice leaves one whole file."""
+    """One file with all arrays; written aside and moved, so a task that runs twice leaves one whole file."""
+    store, path = resolve(path)
     head, at = {}, 0
     for k, a in arrays.items():
         head[k] = [a.dtype.str, len(a), at]
         at += -(-a.nbytes // 64) * 64
     text = json.dumps(head).encode()
-    os.makedirs(os.path.dirname(path), exist_ok=True)
+    text = len(text).to_bytes(8, "little") + text
+    store.create_dir(os.path.dirname(path), recursive=True)
     aside = f"{path}.{uuid.uuid4().hex}"
-    with open(aside, "wb") as f:
-        f.write(len(text).to_bytes(8, "little") + text)
-        f.write(b"\0" * (-f.tell() % 64))
+    with store.open_output_stream(aside) as f:
+        f.write(text + b"\0" * (-len(text) % 64))
         for a in arrays.values():
             f.write(a.tobytes() + b"\0" * (-a.nbytes % 64))
-    os.replace(aside, path)
+    store.move(aside, path)
 
 
 def load(path: str) -> dict[str, np.ndarray]:
-    raw = np.memmap(path, np.uint8, "r")
+    """The arrays of a file: mapped where the path is mounted, else read whole."""
+    store, path = resolve(path)
+    if isinstance(store, fs.LocalFileSystem):
+        raw = np.memmap(path, np.uint8, "r")
+    else:
+        with store.open_input_file(path) as f:
+            raw = np.frombuffer(f.read_buffer(), np.uint8)
     n = int(raw[:8].view("<u8")[0])
     head = json.loads(raw[8 : 8 + n].tobytes())
     base = -(-(8 + n) // 64) * 64

@@ -1,63 +1,70 @@
-"""Language-model scoring with an Elias-Fano n-gram trie.
-
-All training documents are counted: words first, then pairs. Level 1 holds the words (hashes as a
-monotone sequence, counts as differences of another) in parts by hash range. Level 2 is dealt into
-shards by context; a context that is very frequent is dealt over several shards by its successor.
-A shard holds its contexts, monotone pointers to their successors, the successors made monotone by
-their context's rank, and discounted probabilities quantised to 8 bits. A pair is looked up by a
-successor search relative to its context; the number of distinct successors, which weighs the
-lower order, is a difference of pointers. Levels are files in the shared folder, memory-mapped by
-the tasks, so a task's memory is bounded by its batch, not by the model.
-
-P(w | c) = max(n(c, w) - D, 0) / n(c) + D * T(c) / n(c) * P(w), with P(w) the base distribution
-(0.1 added to every count, one slot for unknown words); a text starts in the context of an end.
+"""Language-model scoring with an Elias-Fano n-gram trie of order 3.
+
+All training documents are counted: words first, then triples. Level 1 holds the words (hashes as a
+monotone sequence, counts as differences of another) in parts by hash range. Levels 2 and 3 are
+dealt into shards by context; a context that is very frequent is dealt over several shards by its
+successor. A shard holds its contexts, monotone pointers to their successors, the successors made
+monotone by their context's rank, and discounted probabilities quantised to 8 bits; a pair that is
+itself the context of kept triples has pointers into the shard's third level, whose successors are
+made monotone by the pair's place. Every look-up is a successor search relative to its context.
+Levels are files in the shared folder, memory-mapped by the tasks where it is mounted, else read
+shard by shard (a bounded number is held), so a task's memory is bounded by its batch.
+
+    P(w | u, v) = q(w | u, v) + b(u, v) * P(w | v),  P(w | v) = q(w | v) + b(v) * P(w)
+
+q is (n - ``DISCOUNT``) / n(context), rounded down to a code; b is what the codes of the context
+leave, stored as a weight of its own, so that probabilities sum to one. P(w) is the base
+distribution (0.1 added to every count, one slot for unknown words). Level 3 keeps triples seen at
+least ``MIN_TRIPLES`` times; the others' mass is in b. A text starts in the context of an end, and
+its first token is scored as of a pair.
 
 Defined results: a null or empty text is one end; a null doc_id counts as held out; repeated rows
-count and are scored each; without training documents every token is unknown and N and V are 0.
+count and are scored each; ties do not arise; very long texts are read whole; without training
+documents every token is unknown and N and V are 0; an empty table gives no rows; extra columns are
+never read, whatever their names.
 
-Limits: the shared folder must be a mounted path (file:), as levels are memory-mapped; words are
-known by 64-bit hashes; the vocabulary may have up to 2**32 words.
+Limits: words are known by 64-bit hashes; the vocabulary may have up to 2**32 - 1 words, a shard
+2**31 pairs.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import OrderedDict
 from functools import lru_cache
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from panelwright.llm.common import LOWER_BYTES, materialize, scratch, table
+from panelwright.llm.common import LOWER_BYTES, materialize, scratch, slices, table, trim
 from panelwright.llm.elias_fano import EliasFano, ef_build, load, save
+from panelwright.llm.memo import spread
 
-ADD, DISCOUNT = 0.1, 0.75
+ADD, DISCOUNT, MIN_TRIPLES = 0.1, 0.75, 2
 FOLDS = 10
-#: Partial word counts of a level-1 part, training tokens of a level-2 shard, occurrences beyond which a context is dealt over shards.
-PART_ROWS, SHARD_TOKENS, HOT = 4_000_000, 4_000_000, 1_000_000
-WORDS_AT_ONCE, PAIRS_AT_ONCE, TOKENS_AT_ONCE = 500_000, 2_000_000, 200_000
+#: Partial word counts of a level-1 part, training tokens of a shard, occurrences beyond which a context is dealt over shards.
+PART_ROWS, SHARD_TOKENS, HOT = 4_000_000, 2_000_000, 500_000
+#: Bounds of what a task holds: distinct words and triples before they go on, rows and bytes of text at once, files of the trie.
+WORDS_AT_ONCE, TRIPLES_AT_ONCE, ROWS_AT_ONCE, BYTES_AT_ONCE, FILES_HELD = 500_000, 1_500_000, 4000, 6 << 20, 256
 #: Path, words of the level-1 parts, N, shards, occurrences that make a context hot.
 Model = tuple[str, tuple[int, ...], int, int, int]
 LEVELS, STEP = 256, 10 / 255  # log10 from -10 to 0
+WEIGHTS = (1 << 16) - 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
 END = b""
+NONE = np.uint64(0xFFFFFFFF)  # stands after a text's end
+LOW32 = np.uint64(0xFFFFFFFF)
 
 
 def fold(doc_id: int | None) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(LOWER_BYTES).split()
-
-
-def hashes(words) -> np.ndarray:
-    h = xxhash.xxh64_intdigest
-    return np.fromiter((h(w) for w in words), np.uint64, len(words))
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
@@ -87,19 +94,45 @@ def join_bytes(raw: bytes, kind: str) -> np.ndarray:
 def merged(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    first = runs(keys)
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def runs(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    if not len(sorted_keys[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in sorted_keys], axis=0)))
+
+
+def groups(of: np.ndarray):
+    """Positions of each value, values ascending."""
+    order = np.argsort(of, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else ()
+
+
+def code_of(p: np.ndarray) -> np.ndarray:
+    """The code at or below a probability; 0 is less than any that is kept."""
+    return np.clip(np.floor(np.log10(np.maximum(p, 1e-300)) / STEP + 1e-9) + LEVELS - 1, 0, LEVELS - 1).astype(np.uint8)
+
+
+def of_code(code: np.ndarray) -> np.ndarray:
+    return np.where(code > 0, 10.0 ** ((code.astype(float) - (LEVELS - 1)) * STEP), 0.0)
+
+
 class Trie:
-    """The mapped levels. ``parts``: words of each level-1 part; totals N and V."""
+    """The levels. ``parts``: words of each level-1 part; totals N and V."""
 
     def __init__(self, path: str, parts: tuple[int, ...], n: int, shards: int, hot: int):
         self.path, self.offset, self.n, self.v, self.shards, self.hot = path, np.append(0, np.cumsum(parts)).astype(np.int64), n, sum(parts), shards, hot
-        self.levels: dict[str, dict] = {}
+        self.levels: OrderedDict[str, dict] = OrderedDict()
 
     def level(self, name: str) -> dict:
-        if name not in self.levels:
+        if name in self.levels:
+            self.levels.move_to_end(name)
+        else:
+            if len(self.levels) >= FILES_HELD:
+                self.levels.popitem(last=False)
             a = load(f"{self.path}/{name}")
             self.levels[name] = {k: EliasFano(a, k) for k in {x.partition(".")[0] for x in a if "." in x}} | {k: x for k, x in a.items() if "." not in k}
         return self.levels[name]
@@ -108,11 +141,11 @@ class Trie:
         """Id (-1: unknown) and count of every hash."""
         ids, count = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
         parts = len(self.offset) - 1
-        of = part_of(h, parts) if parts else np.zeros(0, np.int64)
-        for p in np.unique(of).tolist():
+        for at in groups(part_of(h, parts)) if self.v else ():
+            p = int(part_of(h[at[:1]], parts)[0])
             if self.offset[p + 1] == self.offset[p]:
                 continue
-            lv, at = self.level(f"words-{p}"), np.flatnonzero(of == p)
+            lv = self.level(f"words-{p}")
             i = lv["hash"].find(h[at])
             at, i = at[i >= 0], i[i >= 0]
             ids[at] = self.offset[p] + i
@@ -122,116 +155,163 @@ class Trie:
     def counts(self, ids: np.ndarray) -> np.ndarray:
         """Counts of known ids."""
         out = np.zeros(len(ids), np.int64)
-        part = np.searchsorted(self.offset, ids, side="right") - 1
-        for p in np.unique(part).tolist():
-            at = np.flatnonzero(part == p)
-            i, of = np.unique(ids[at] - self.offset[p], return_inverse=True)
+        for at in groups(np.searchsorted(self.offset, ids, side="right") - 1):
+            p = int(np.searchsorted(self.offset, ids[at[0]], side="right") - 1)
             ef = self.level(f"words-{p}")["count"]
-            out[at] = (ef.get(i + 1) - ef.get(i)).astype(np.int64)[of]
+            out[at] = (ef.get(ids[at] - self.offset[p] + 1) - ef.get(ids[at] - self.offset[p])).astype(np.int64)
         return out
 
-    def pairs(self, c: np.ndarray, w: np.ndarray, n_c: np.ndarray) -> np.ndarray:
-        """Discounted probability of every pair, 0 where it was not seen."""
-        out = np.zeros(len(c))
+    def pairs(self, c: np.ndarray, w: np.ndarray, n_c: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of every pair (sorted by c): q, b as a context of level 3 (1 where it has none), shard, place among the contexts of level 3 there (-1: none)."""
+        q, b, place = np.zeros(len(c)), np.ones(len(c)), np.full(len(c), -1, np.int64)
         of = shard_of(c, w, n_c, self.shards, self.hot)
-        order = np.argsort(of, kind="stable")
-        for at in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else ():
+        for at in groups(of):
             lv = self.level(f"pairs-{of[at[0]]}")
-            r = lv["context"].find(c[at])
-            at, r = at[r >= 0], r[r >= 0]
-            lo, hi = lv["pointer"].get(r), lv["pointer"].get(r + 1)
+            first = runs(c[at])  # a context is looked up once
+            r = lv["context"].find(c[at[first]])
+            known = np.maximum(r, 0)
+            per = np.diff(np.append(first, len(at)))
+            hi = np.where(r >= 0, lv["pointer"].get(known + 1).astype(np.int64), -1)
+            r, hi = np.repeat(r, per), np.repeat(hi, per)
+            at, r, hi = at[r >= 0], r[r >= 0], hi[r >= 0]
             x = r.astype(np.uint64) << np.uint64(32) | w[at].astype(np.uint64)
             i = lv["successor"].successor(x)
-            ok = (i >= lo) & (i < hi)
+            ok = i < hi
             at, i, x = at[ok], i[ok], x[ok]
             ok = lv["successor"].get(i) == x
-            out[at[ok]] = 10.0 ** ((lv["code"][i[ok]].astype(float) - (LEVELS - 1)) * STEP)
-        return out
-
-    def successors(self, c: np.ndarray, n_c: np.ndarray) -> np.ndarray:
-        """Distinct successors of every context."""
-        out = np.zeros(len(c), np.int64)
-        spread = np.maximum(1, -(-n_c // self.hot))
-        which = np.repeat(np.arange(len(c)), spread)
-        of = nth_shard(c[which], np.arange(len(which)) - np.repeat(np.cumsum(spread) - spread, spread), self.shards)
+            at, i = at[ok], i[ok]
+            q[at] = of_code(lv["code"][i])
+            k = lv["parent"].find(i.astype(np.uint64))
+            place[at] = k
+            b[at[k >= 0]] = lv["left"][k[k >= 0]] / WEIGHTS
+        return q, b, of, place
+
+    def triples(self, shard: np.ndarray, place: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """q of successors w of contexts of level 3."""
+        q = np.zeros(len(w))
+        for at in groups(shard):
+            lv = self.level(f"pairs-{shard[at[0]]}")
+            x = place[at].astype(np.uint64) << np.uint64(32) | w[at].astype(np.uint64)
+            i = lv["third"].find(x)
+            q[at[i >= 0]] = of_code(lv["third_code"][i[i >= 0]])
+        return q
+
+    def back(self, c: np.ndarray, n_c: np.ndarray) -> np.ndarray:
+        """b of every single-word context: what the kept mass, summed over its shards, leaves."""
+        out = np.ones(len(c))
+        per = np.maximum(1, -(-n_c // self.hot))
+        which = np.repeat(np.arange(len(c)), per)
+        of = nth_shard(c[which], spread(np.zeros(len(c), np.int64), per), self.shards)
         pair = np.unique(which * self.shards + of)  # a shard that serves one context twice counts once
         which, of = pair // self.shards, pair % self.shards
-        order = np.argsort(of, kind="stable")
-        for at in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else ():
+        for at in groups(of):
             lv = self.level(f"pairs-{of[at[0]]}")
             r = lv["context"].find(c[which[at]])
             at, r = at[r >= 0], r[r >= 0]
-            np.add.at(out, which[at], (lv["pointer"].get(r + 1) - lv["pointer"].get(r)).astype(np.int64))
-        return out
+            np.subtract.at(out, which[at], lv["mass"][r].astype(float))
+        return np.maximum(out, DISCOUNT / np.maximum(n_c, 1))  # a single successor leaves as much
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def trie(path: str, parts: tuple[int, ...], n: int, shards: int, hot: int) -> Trie:
     return Trie(path, parts, n, shards, hot)
 
 
-def token_batches(batches, training_only: bool):
-    """(batch slice, texts' tokens) of about TOKENS_AT_ONCE tokens each."""
-    for b in batches:
-        ids, texts = b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary())
-        rows, tokens, n = [], [], 0
-        for k, d in enumerate(ids):
-            if training_only and not fold(d):
-                continue
-            w = words_of(texts[k].as_py())
-            w.append(END)
-            rows.append(k)
-            tokens.append(w)
-            n += len(w)
-            if n >= TOKENS_AT_ONCE:
-                yield [ids[i] for i in rows], tokens
-                rows, tokens, n = [], [], 0
-        if rows:
-            yield [ids[i] for i in rows], tokens
-
+def tokens_of(text: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Local number of every token (texts one after the other, each with its end), the distinct words (the end last), and the tokens of each text."""
+    text = pa.concat_arrays([pc.fill_null(text.cast(pa.string()), "")])  # a slice of its own, from offset 0
+    _, offsets, data = text.buffers()
+    lower = pa.Array.from_buffers(pa.string(), len(text), [None, offsets, pa.py_buffer(data.to_pybytes().translate(LOWER_BYTES) if data else b"")])
+    split = pc.ascii_split_whitespace(lower)
+    flat = split.flatten()
+    real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at either end leaves an empty piece
+    ends = np.append(0, np.cumsum(real))[np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]
+    words = (flat if real.all() else flat.filter(pa.array(real))).dictionary_encode()
+    distinct = words.dictionary.cast(pa.binary()).to_pylist()
+    ids = np.insert(words.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, len(distinct))
+    return ids, [*distinct, END], np.diff(ends, prepend=0) + 1
 
-def numbered(tokens: list[list[bytes]]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Local number of every token, the distinct words, and the tokens of each text."""
-    local: dict[bytes, int] = {}
-    flat = np.fromiter((local.setdefault(w, len(local)) for t in tokens for w in t), np.int64, sum(map(len, tokens)))
-    return flat, list(local), np.array([len(t) for t in tokens], np.int64)
 
-
-def contexts(x: np.ndarray, size: np.ndarray, end) -> np.ndarray:
-    """What stands before every token; a text's first token follows an end."""
-    before = np.append(end, x[:-1]) if len(x) else x
-    before[np.cumsum(size) - size] = end
-    return before
+def training(batches):
+    """Texts of the training documents, a bounded number at once."""
+    for b in slices(batches, "text", ROWS_AT_ONCE, BYTES_AT_ONCE):
+        keep = np.fromiter((fold(d) != 0 for d in b.column("doc_id").to_pylist()), bool, b.num_rows)
+        if keep.any():
+            yield b.column("text").filter(pa.array(keep))
 
 
 def count_words(batches):
-    counts: Counter[bytes] = Counter()
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
 
     def out():
-        h = hashes(counts)
-        n = np.fromiter(counts.values(), np.int64, len(counts))
-        counts.clear()
+        h, n = merged(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+        held.clear()
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["hash", "n"])
 
-    for _, tokens in token_batches(batches, True):
-        for t in tokens:
-            counts.update(t)
-        if len(counts) > WORDS_AT_ONCE:
-            yield out()
-    if counts:
+    for text in training(batches):
+        ids, words, _ = tokens_of(text)
+        held.append((hashes(words), np.bincount(ids, minlength=len(words))))
+        waiting += len(words)
+        if waiting > WORDS_AT_ONCE:
+            merged_now = merged(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+            held[:] = [merged_now]
+            waiting = len(merged_now[0])
+            if 2 * waiting > WORDS_AT_ONCE:
+                yield out()
+                waiting = 0
+    if held:
         yield out()
+    trim()
+
+
+def triple_rows(t: Trie, ids: list[np.ndarray], follows: list[np.ndarray], before: list[np.ndarray]):
+    """Distinct (context, word, next) with their numbers, dealt to shards, as columns of byte planes."""
+    c, w, x = (np.concatenate(z) for z in (before, ids, follows))
+    key = c.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64)
+    order = np.lexsort((x, key))
+    key, x = key[order], x[order]
+    first = runs(key, x)
+    size = np.diff(np.append(first, len(key))).astype(np.uint32)
+    key, x = key[first], x[first].astype(np.uint32)
+    c, w = (key >> np.uint64(32)).astype(np.int64), key & LOW32
+    new = runs(c)
+    n_c = np.repeat(t.counts(c[new]), np.diff(np.append(new, len(c))))
+    of = shard_of(c, w, n_c, t.shards, t.hot)
+    rows = [(int(of[at[0]]), split_bytes(np.diff(key[at], prepend=np.uint64(0))), split_bytes(x[at]), split_bytes(size[at])) for at in groups(of)]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], ["shard", "keys", "next", "counts"])
+
+
+def shard_arrays(key: np.ndarray, x: np.ndarray, n: np.ndarray, counts) -> dict[str, np.ndarray]:
+    """Levels 2 and 3 of a shard from its triples (context << 32 | word, next) and their numbers; ``counts`` gives words' counts."""
+    order = np.lexsort((x, key))
+    key, x, n = key[order], x[order], n[order]
+    first = runs(key, x)
+    key, x, n = key[first], x[first].astype(np.uint64), np.add.reduceat(n, first) if len(first) else n
+    pair = runs(key)
+    of_pair = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(key))))
+    total = np.add.reduceat(n, pair) if len(pair) else n
+    c, w = key[pair] >> np.uint64(32), key[pair] & LOW32
+    new = runs(c)
+    per = np.diff(np.append(new, len(c)))
+    rank = np.repeat(np.arange(len(new)), per)
+    n_c = counts(c[new].astype(np.int64))
+    code = code_of((total - DISCOUNT) / n_c[rank]) if len(c) else np.zeros(0, np.uint8)
+    mass = np.bincount(rank, of_code(code), len(new))
+    kept = np.flatnonzero((n >= MIN_TRIPLES) & (x != NONE))
+    third_code = code_of((n[kept] - DISCOUNT) / total[of_pair[kept]])
+    kept, third_code = kept[third_code > 0], third_code[third_code > 0]
+    parent, place = np.unique(of_pair[kept], return_inverse=True)
+    left = 1 - np.bincount(place, of_code(third_code), len(parent))
+    out = ef_build(c[new], "context") | ef_build(np.append(0, np.cumsum(per)), "pointer") | ef_build(rank.astype(np.uint64) << np.uint64(32) | w, "successor")
+    out |= ef_build(parent.astype(np.uint64), "parent") | ef_build(place.astype(np.uint64) << np.uint64(32) | x[kept], "third")
+    return out | {"code": code, "mass": mass.astype(np.float32), "left": np.clip(np.ceil(left * WEIGHTS), 1, WEIGHTS).astype(np.uint16), "third_code": third_code}
 
 
 def train(docs: DataFrame) -> Model:
     """Build the levels; gives what ``trie`` takes."""
-    spark = docs.sparkSession
-    path = scratch(spark, "lm-trie")
-    where = urlparse(path)
-    if where.scheme not in ("", "file"):
-        raise ValueError(f"language-model levels are memory-mapped and need a mounted shared folder, not {path}")
-    path = where.path
+    path = scratch(docs.sparkSession, "lm-trie")
     docs = docs.select("doc_id", "text")
-
     partial = materialize(docs.mapInArrow(count_words, "hash long, n long"), "lm-words")
     parts = max(1, -(-partial.count() // PART_ROWS))
 
@@ -246,78 +326,92 @@ def train(docs: DataFrame) -> Model:
         save(f"{path}/words-{p}", ef_build(h, "hash") | ef_build(np.append(0, np.cumsum(n)), "count"))
         return pa.table({"part": pa.array([p], pa.int64()), "words": pa.array([len(h)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64())})
 
-    built = partial.mapInArrow(with_part, "part long, hash long, n long").groupBy("part").applyInArrow(build_words, "part long, words long, tokens long").collect()
+    built = partial.mapInArrow(with_part, "part long, hash long, n long").groupBy("part").applyInArrow(build_words, "part long, words long, tokens long").collect()  # a row a part
     sizes = dict((r["part"], r["words"]) for r in built)
     n = sum(r["tokens"] for r in built)
-    sizes = tuple(sizes.get(p, 0) for p in range(parts))
     shards = max(1, -(-n // SHARD_TOKENS))
-    model: Model = (path, sizes, n, shards, HOT)
+    model: Model = (path, tuple(sizes.get(p, 0) for p in range(parts)), n, shards, HOT)
 
-    def count_pairs(batches):
-        t = trie(*model)
+    def count_triples(batches):
+        t, held, waiting = trie(*model), [], 0
         end = int(t.words(hashes([END]))[0][0]) if t.v else -1
-        held: list[np.ndarray] = []
-
-        def out():
-            key, size = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            c, w = key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)
-            of = shard_of(c.astype(np.int64), w, t.counts(c.astype(np.int64)), shards, t.hot)
-            order = np.argsort(of, kind="stable")
-            rows = [(int(of[at[0]]), split_bytes(np.diff(key[at], prepend=np.uint64(0))), split_bytes(size[at].astype(np.uint32))) for at in np.split(order, np.flatnonzero(np.diff(of[order])) + 1)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], ["shard", "keys", "counts"])
-
-        waiting = 0
-        for _, tokens in token_batches(batches, True):
-            flat, words, size = numbered(tokens)
-            ids = t.words(hashes(words))[0][flat]
-            held.append(contexts(ids, size, end).astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64))
+        for text in training(batches):
+            local, words, size = tokens_of(text)
+            ids = t.words(hashes(words))[0][local]
+            follows = np.append(ids[1:], 0).astype(np.uint64)
+            follows[np.cumsum(size) - 1] = NONE
+            held.append((ids, follows, contexts(ids, size, end)))
             waiting += len(ids)
-            if waiting >= PAIRS_AT_ONCE:
-                yield out()
-                waiting = 0
+            if waiting >= TRIPLES_AT_ONCE:
+                yield triple_rows(t, *map(list, zip(*held)))
+                held, waiting = [], 0
         if held:
-            yield out()
+            yield triple_rows(t, *map(list, zip(*held)))
+        del held
+        trim()
 
     def build_pairs(key, tbl):
-        keys, counts = tbl.column("keys").to_pylist(), tbl.column("counts").to_pylist()
-        k, m = merged(np.concatenate([np.cumsum(join_bytes(x, "<u8")) for x in keys]), np.concatenate([join_bytes(x, "<u4") for x in counts]).astype(np.int64))
-        c, w = k >> np.uint64(32), k & np.uint64(0xFFFFFFFF)
-        context, rank, per = np.unique(c, return_inverse=True, return_counts=True)
-        t = trie(*model)
-        n_c = t.counts(context.astype(np.int64))
-        code = np.clip(np.rint(np.log10((m - DISCOUNT) / n_c[rank]) / STEP) + LEVELS - 1, 0, LEVELS - 1).astype(np.uint8)
+        columns = [tbl.column(k).to_pylist() for k in ("keys", "next", "counts")]
+        key_, x, m = (np.concatenate(z) for z in ([np.cumsum(join_bytes(v, "<u8")) for v in columns[0]], [join_bytes(v, "<u4") for v in columns[1]], [join_bytes(v, "<u4").astype(np.int64) for v in columns[2]]))
         s = key[0].as_py()
-        levels = ef_build(context, "context") | ef_build(np.append(0, np.cumsum(per)), "pointer") | ef_build(rank.astype(np.uint64) << np.uint64(32) | w, "successor")
-        save(f"{path}/pairs-{s}", levels | {"code": code})
-        return pa.table({"shard": pa.array([s], pa.int64()), "pairs": pa.array([len(k)], pa.int64())})
+        arrays = shard_arrays(key_, x, m, trie(*model).counts)
+        save(f"{path}/pairs-{s}", arrays)
+        return pa.table({"shard": pa.array([s], pa.int64()), "pairs": pa.array([len(arrays["code"])], pa.int64())})
 
-    made = docs.mapInArrow(count_pairs, "shard long, keys binary, counts binary").groupBy("shard").applyInArrow(build_pairs, "shard long, pairs long").collect()
+    made = docs.mapInArrow(count_triples, "shard long, keys binary, next binary, counts binary").groupBy("shard").applyInArrow(build_pairs, "shard long, pairs long").collect()  # a row a shard
     none = np.zeros(0, np.uint64)
     for s in set(range(shards)) - {r["shard"] for r in made}:
-        save(f"{path}/pairs-{s}", ef_build(none, "context") | ef_build(np.zeros(1, np.uint64), "pointer") | ef_build(none, "successor") | {"code": np.zeros(0, np.uint8)})
+        save(f"{path}/pairs-{s}", shard_arrays(none, none.astype(np.uint32), none.astype(np.int64), lambda c: c))
     return model
 
 
-def score_tokens(t: Trie, tokens: list[list[bytes]]) -> tuple[np.ndarray, ...]:
-    """n_tokens, n_known, base score and score of every text."""
-    flat, words, size = numbered(tokens)
+def contexts(x: np.ndarray, size: np.ndarray, end) -> np.ndarray:
+    """What stands before every token; a text's first token follows an end."""
+    before = np.append(end, x[:-1]) if len(x) else x
+    before[np.cumsum(size) - size] = end
+    return before
+
+
+def probabilities(t: Trie, flat: np.ndarray, words: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Count, base probability and the model's probability of every token."""
     ids, count = t.words(hashes(words))
-    local_end = words.index(END)
     p1 = (count + ADD) / (t.n + ADD * (t.v + 1))
-    before = contexts(flat, size, local_end)
-    known = (ids[flat] >= 0) & (ids[before] >= 0)
-    pair, where = np.unique(before[known] * len(words) + flat[known], return_inverse=True)
-    c, w = pair // len(words), pair % len(words)
-    high = t.pairs(ids[c], ids[w].astype(np.uint64), count[c]) if len(pair) else np.zeros(0)
+    before = contexts(flat, size, len(words) - 1)
     back = np.ones(len(words))
     has = np.flatnonzero(ids >= 0)
-    back[has] = DISCOUNT * t.successors(ids[has], count[has]) / count[has]
+    back[has] = t.back(ids[has], count[has])
     p = back[before] * p1[flat]
-    p[known] += high[where]
+    # Numbers by id, so that the distinct pairs come sorted by their context.
+    by_id = np.argsort(ids, kind="stable")
+    nth = np.empty(len(words), np.int64)
+    nth[by_id] = np.arange(len(words))
+    known = np.flatnonzero((ids[flat] >= 0) & (ids[before] >= 0))
+    pair, where = np.unique(nth[before[known]] * len(words) + nth[flat[known]], return_inverse=True)
+    c, w = by_id[pair // len(words)], by_id[pair % len(words)]
+    q, left, shard, place = t.pairs(ids[c], ids[w], count[c]) if len(pair) else (np.zeros(0),) * 4
+    p[known] += q[where]
+    # The pair that ends right before a token is its context of order 3, unless the token is its text's first.
+    of = np.full(len(flat), -1, np.int64)
+    of[known] = where
+    of = np.append(-1, of[:-1]) if len(of) else of
+    of[np.cumsum(size) - size] = -1
+    third = np.flatnonzero(of >= 0)
+    third = third[place[of[third]] >= 0]
+    p[third] *= left[of[third]]
+    third = third[ids[flat[third]] >= 0]
+    if len(third):
+        want, back_to = np.unique(of[third] * len(words) + flat[third], return_inverse=True)
+        k, w = want // len(words), want % len(words)
+        p[third] += t.triples(shard[k], place[k], ids[w])[back_to]
+    return count[flat], p1[flat], p
+
+
+def score_tokens(t: Trie, flat: np.ndarray, words: list[bytes], size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """n_tokens, n_known, base score and score of every text."""
+    count, p1, p = probabilities(t, flat, words, size)
     at = np.cumsum(size) - size
     add = lambda x: np.add.reduceat(x, at)
-    return size, add((count[flat] > 0).astype(np.int64)), add(np.log10(p1)[flat]), add(np.log10(p))
+    return size, add((count > 0).astype(np.int64)), add(np.log10(p1)), add(np.log10(p))
 
 
 def lm_scores(docs: DataFrame, model: Model) -> DataFrame:
@@ -325,17 +419,18 @@ def lm_scores(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         t = trie(*model)
-        for ids, tokens in token_batches(batches, False):
-            n, known, base, score = score_tokens(t, tokens)
-            held = pa.array([not fold(d) for d in ids], pa.bool_())
-            total = pa.array(np.full(len(ids), t.n, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), held, pa.array(n), pa.array(known), total, pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for b in slices(batches, "text", ROWS_AT_ONCE, BYTES_AT_ONCE):
+            n, known, base, score = score_tokens(t, *tokens_of(b.column("text")))
+            held = pa.array([not fold(d) for d in b.column("doc_id").to_pylist()], pa.bool_())
+            total = pa.array(np.full(b.num_rows, t.n, np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), held, pa.array(n), pa.array(known), total, pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lm_scores(docs, train(docs))
 
 
