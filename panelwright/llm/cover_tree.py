@@ -1,43 +1,55 @@
 """Embedding near-duplicates: exact threshold pairs by dual traversal of cover trees.
 
-Equal vectors become one node with a multiplicity. The top of the tree is a net (farthest-first
-prefix) of a bounded sample; every vector goes to its nearest net point, and the covering radius
-of a cell is the true maximum over its members. A cell with many members is split into units of
-bounded size. Two units meet in one task unless their balls are too far apart, and a vector goes
-there only if it can reach the other ball. A task builds a cover tree over each unit (nested
-levels, radii halved from level to level) and walks both at once: node pairs farther apart than
-their radii and the threshold allow are pruned, pairs that lie wholly within the threshold are
-linked without looking at their points, leaves are compared exactly. Tasks return link counts
-and a spanning forest, never all pairs.
+Equal vectors become one node with a multiplicity. A cover tree over a bounded sample (nested
+levels, radii halved from level to level) is the top of the tree of all vectors: every vector goes
+down it, to the nearest centre at each level, and ends in a leaf, a unit of bounded size; covering
+radii are the true maxima over all members, at every level. A vector meets the units that it
+reaches when it goes down again, past every node whose ball is within its reach, so units are
+pruned level by level; two units meet in one task with those members that reach the other. A task
+builds a cover tree over each side and walks both at once: node pairs farther apart than their
+radii and the threshold allow are pruned, pairs that lie wholly within the threshold are linked
+without looking at their points, leaves are compared: in single precision with a margin, what
+comes near the threshold again in double. Tasks return link counts and a spanning forest, never
+all pairs; after the first aggregation only ids and results are joined, no vectors.
 
 The join is exact for any data. How much is pruned depends on the data's intrinsic dimension: where
-distances concentrate, most unit pairs meet and the work tends to all pairs, in bounded blocks.
+distances concentrate a level has more centres than a node may have children (``FANOUT``); the rest
+then goes to the nearest centre under its true radius, so radii no longer halve, most units meet and
+the work tends to all pairs, in bounded blocks. A leaf that is still too large (more vectors than a
+unit in one small ball) is dealt into parts that all meet.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with
 nothing and are a component of their own; vectors of different lengths do not link; repeated rows
-are counted each; a null vec_id is largest when components are named; an empty table gives no rows.
+are counted each; a null vec_id is largest when components are named; an empty table gives no rows;
+other columns are ignored, whatever their names. Vectors are known by two 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import connected_components, materialize, merge_labels, shuffle_partitions, table
+from panelwright.llm.memo import spread
 
 MIN_COSINE = 0.95
-#: Vectors of a unit, at most about; net points, at most; rows of the sample that gives them.
-UNIT, MAX_CELLS, SAMPLE = 4096, 512, 8192
+#: Vectors of a unit, at most about; sample vectors for each unit, and in all, at least and at most.
+UNIT, PER_UNIT, LEAST_SAMPLE, MOST_SAMPLE = 16_384, 24, 2048, 65_536
 LEAF, FANOUT, SLACK, LINKS_AT_ONCE = 256, 64, 1e-9, 1_000_000
+#: What single precision may be off by in a product of unit vectors of a thousand components, and more.
+MARGIN = 1e-4
+MOST_TASKS = 200_000
 
 
 class CoverTree:
     """Nodes over a reordering of the points; node k covers points[start[k]:stop[k]] within radius[k] of centre[k]."""
 
-    def __init__(self, points: np.ndarray):
-        self.order = np.arange(len(points))
+    def __init__(self, points: np.ndarray, leaf: int = LEAF, fanout: int = FANOUT):
+        self.order, self.leaf, self.fanout = np.arange(len(points)), leaf, fanout
         self.points = points
         nodes: list[tuple[int, int, int, float, int, int]] = []
         if len(points):
@@ -47,6 +59,7 @@ class CoverTree:
         self.radius = np.array(cols[3], float)
         self.child, self.children = (np.array(c, np.int64) for c in cols[4:])
         self.points = points[self.order]
+        self.single = self.points.astype(np.float32)
         self.centres = points[self.centre] if nodes else points[:0]
 
     def nodes_below(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,14 +76,14 @@ class CoverTree:
         while queue:
             at = queue.pop()
             start, stop, c, radius, _, _ = nodes[at]
-            if stop - start <= LEAF or radius == 0:
+            if stop - start <= self.leaf or radius == 0:
                 continue
             half = min(level.pop(at), 2.0)
             while half > radius:
                 half /= 2
             rest, parts, centres = self.order[start:stop], [], []
             nxt = c  # levels are nested: a node is its own first child
-            most = min(FANOUT, -(-2 * len(rest) // LEAF))
+            most = min(self.fanout, -(-2 * len(rest) // self.leaf))
             while len(rest) and len(parts) < most:
                 d = distance(nxt, rest)
                 near = d <= half
@@ -100,7 +113,7 @@ def dual_links(a: CoverTree, b: CoverTree, wa: np.ndarray, wb: np.ndarray, least
 
     ``wa``, ``wb``: weights in tree order. ``same``: b is a, and pairs of one point count no more than once.
     """
-    t = float(np.sqrt(2 - 2 * least))
+    t, near = float(np.sqrt(2 - 2 * least)), np.float32(least - MARGIN)
     na, nb = len(a.points), 0 if same else len(b.points)
     ca, cb = np.zeros(na, np.int64), np.zeros(len(b.points), np.int64)
     if same:
@@ -147,14 +160,15 @@ def dual_links(a: CoverTree, b: CoverTree, wa: np.ndarray, wb: np.ndarray, least
         leaf = (a.children[p] == 0) & (b.children[q] == 0)
         for i, j in zip(p[leaf], q[leaf]):
             sa, ea, sb, eb = a.start[i], a.stop[i], b.start[j], b.stop[j]
-            hit = a.points[sa:ea] @ b.points[sb:eb].T >= least
+            u, v = np.divmod(np.flatnonzero((a.single[sa:ea] @ b.single[sb:eb].T).ravel() >= near), eb - sb)
             if same and i == j:
-                hit = np.triu(hit, 1)
-            if hit.any():
-                ca[sa:ea] += hit @ wb[sb:eb]
-                cb[sb:eb] += wa[sa:ea] @ hit
-                u, v = np.nonzero(hit)
-                link(u + sa, v + sb + off)
+                u, v = u[u < v], v[u < v]
+            if len(u):
+                hit = np.einsum("ij,ij->i", a.points[u + sa], b.points[v + sb]) >= least
+                u, v = u[hit] + sa, v[hit] + sb
+                np.add.at(ca, u, wb[v])
+                np.add.at(cb, v, wa[u])
+                link(u, v + off)
         p, q = p[~leaf], q[~leaf]
         if not len(p):
             break
@@ -181,53 +195,87 @@ def unit_rows(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def net(points: np.ndarray, k: int) -> np.ndarray:
-    """The first k points of the farthest-first order: nested nets whose radii shrink with k."""
-    out = points[:1]
-    d = 2 - 2 * points @ points[0]
-    while len(out) < min(k, len(points)):
-        at = int(d.argmax())
-        out = np.vstack([out, points[at]])
-        d = np.minimum(d, 2 - 2 * points @ points[at])
-    return out
+def reached(tree: CoverTree, radius: np.ndarray, x: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf) of every leaf whose ball a vector reaches, going down level by level."""
+    rows, leaves = [], []
+    waiting = [(0, np.arange(len(x)))]
+    while waiting:
+        node, at = waiting.pop()
+        d = np.sqrt(np.maximum(0.0, 2 - 2 * x[at] @ tree.centres[node]))
+        at = at[d <= radius[node] + t + SLACK]
+        if not len(at):
+            continue
+        if tree.children[node]:
+            waiting += [(k, at) for k in range(tree.child[node], tree.child[node] + tree.children[node])]
+        else:
+            rows.append(at)
+            leaves.append(np.full(len(at), node))
+    return (np.concatenate(rows), np.concatenate(leaves)) if rows else (np.zeros(0, np.int64),) * 2
+
+
+def placed(tree: CoverTree, x: np.ndarray) -> tuple[np.ndarray, list[dict[int, float]]]:
+    """The leaf of every vector, and per leaf the farthest member from each centre on the way."""
+    leaf, far = np.zeros(len(x), np.int64), []
+    waiting = [(0, np.arange(len(x)), ())]
+    while waiting:
+        node, at, way = waiting.pop()
+        way = (*way, node)
+        if tree.children[node]:
+            first, n = tree.child[node], tree.children[node]
+            mine = (x[at] @ tree.centres[first : first + n].T).argmax(axis=1)
+            waiting += [(first + k, at[mine == k], way) for k in range(n) if (mine == k).any()]
+        elif len(at):
+            leaf[at] = node
+            far += [(node, k, float(np.sqrt(max(0.0, 2 - 2 * (x[at] @ tree.centres[k]).min())))) for k in way]
+    return leaf, far
 
 
 def joined(nodes: DataFrame, dim: int, n: int, least: float, unit: int) -> DataFrame:
     """(a, b, n): b null gives the linked weight n of node a, else an edge of a spanning forest."""
     spark = nodes.sparkSession
-    sample = nodes.select("embedding").orderBy(F.xxhash64("node")).limit(SAMPLE).toArrow()  # bounded
-    centres = net(unit_rows(sample.column("embedding"), dim), min(MAX_CELLS, -(-n // unit)))
+    want = min(n, MOST_SAMPLE, max(LEAST_SAMPLE, PER_UNIT * n // unit))
+    sample = nodes.select("embedding").orderBy(F.xxhash64("node")).limit(want).toArrow()  # bounded
+    top = CoverTree(unit_rows(sample.column("embedding"), dim), max(1, len(sample) * unit // (2 * n)) if n > unit else len(sample))
+    top.points = top.single = np.zeros((0, dim))  # only the centres go to the tasks
     t, kind = float(np.sqrt(2 - 2 * least)), nodes.schema["embedding"].dataType.simpleString()
-    away = lambda x: np.sqrt(np.maximum(0.0, 2 - 2 * x @ centres.T))
 
     def assign(batches):
         for b in batches:
-            d = away(unit_rows(b.column("embedding"), dim))
-            cell = d.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], [*b.schema.names, "cell", "far"])
-
-    placed = materialize(nodes.mapInArrow(assign, f"node long, weight long, embedding {kind}, cell int, far double"), "cover-cells")
-    stats = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # at most MAX_CELLS rows
-    radius = np.array([stats[c]["far"] if c in stats else -9.0 for c in range(len(centres))])
-    parts = np.array([-(-stats[c]["n"] // unit) if c in stats else 0 for c in range(len(centres))])
+            leaf, _ = placed(top, unit_rows(b.column("embedding"), dim))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf.astype(np.int32))], [*b.schema.names, "leaf"])
+
+    def measure(batches):
+        size, far = {}, {}
+        for b in batches:
+            leaf, more = placed(top, unit_rows(b.column("embedding"), dim))
+            for k, m in zip(*np.unique(leaf, return_counts=True)):
+                size[int(k)] = size.get(int(k), 0) + int(m)
+            for _, k, d in more:
+                far[int(k)] = max(far.get(int(k), 0.0), d)
+        rows = [(k, size.get(k, 0), far.get(k, -9.0)) for k in {*size, *far}]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["at", "n", "far"])
+
+    stats = nodes.select("embedding").mapInArrow(measure, "at int, n long, far double").groupBy("at").agg(F.sum("n").alias("n"), F.max("far").alias("far")).collect()  # nodes of the bounded top tree
+    radius, members = np.full(len(top.start), -9.0), np.zeros(len(top.start), np.int64)
+    for r in stats:
+        radius[r["at"]], members[r["at"]] = r["far"], r["n"]
+    parts = -(-members // (2 * unit))  # as a rule one: a leaf of more than two units is dealt into parts
     first = np.cumsum(parts) - parts
-    meet = away(centres) <= radius[:, None] + radius[None] + t + SLACK
 
     def pairs(batches):
         for b in batches:
-            cell, node = b.column("cell").to_numpy(), b.column("node").to_numpy()
-            d = away(unit_rows(b.column("embedding"), dim))
-            reach = (d <= radius + t + SLACK) & meet[cell]
-            reach[np.arange(len(cell)), cell] = True
-            own = first[cell] + (node * 0x9E3779B1 >> 7) % parts[cell]
-            row, to = np.nonzero(reach)
+            x, leaf, node = unit_rows(b.column("embedding"), dim), b.column("leaf").to_numpy(), b.column("node").to_numpy()
+            own = first[leaf] + (node * 0x9E3779B1 >> 7) % parts[leaf]
+            row, to = reached(top, radius, x, t)
+            order = np.argsort(row, kind="stable")
+            row, to = row[order], to[order]
             reps = parts[to]
-            row = np.repeat(row, reps)
-            other = np.repeat(first[to], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-            lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(np.bincount(row, minlength=len(cell)))).astype(np.int32), pa.array(other.astype(np.int64)))
+            other = spread(first[to], reps)
+            count = np.bincount(np.repeat(row, reps), minlength=len(x))
+            lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(count)).astype(np.int32), pa.array(other.astype(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("weight"), b.column("embedding"), pa.array(own.astype(np.int64)), lists], ["node", "weight", "embedding", "own", "others"])
 
-    dealt = placed.mapInArrow(pairs, f"node long, weight long, embedding {kind}, own long, others array<long>")
+    dealt = nodes.mapInArrow(assign, f"node long, weight long, embedding {kind}, leaf int").mapInArrow(pairs, f"node long, weight long, embedding {kind}, own long, others array<long>")
     dealt = dealt.withColumn("other", F.explode("others")).drop("others")
     dealt = dealt.select(F.least("own", "other").alias("u"), F.greatest("own", "other").alias("w"), "own", "node", "weight", "embedding")
 
@@ -245,41 +293,39 @@ def joined(nodes: DataFrame, dim: int, n: int, least: float, unit: int) -> DataF
         none = lambda k: pa.nulls(k, pa.int64())
         return pa.table({"a": np.concatenate([ids[has], ids[child]]), "b": pa.chunked_array([none(len(has)), pa.array(ids[labels[child]], pa.int64())]), "n": pa.chunked_array([pa.array(count[has]), none(len(child))])})
 
-    tasks = shuffle_partitions(spark, int(parts.sum()) ** 2 // 2, 64)
+    # As many tasks as all pairs of units fill at 32 a task, were none pruned, within what a scheduler takes; keys beyond share a task one after the other.
+    tasks = min(shuffle_partitions(spark, int(parts.sum()) * (int(parts.sum()) + 1) // 2, 32), MOST_TASKS)
     return dealt.repartition(tasks, "u", "w").groupBy("u", "w").applyInArrow(join, "a long, b long, n long")
 
 
 def near_vectors(vectors: DataFrame, least: float = MIN_COSINE, unit: int = UNIT) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of (vec_id, embedding)."""
-    spark = vectors.sparkSession
     kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"  # as it is stored; compared in double
     rows = vectors.select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.coalesce((F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    rows = materialize(rows.withColumn("good", good).withColumn("embedding", F.when(F.col("good"), F.col("embedding"))), "vectors")
-    valid = rows.where("good").drop("good")
-    nodes = valid.groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"))
+    key = F.when(good, F.struct(F.xxhash64("embedding").alias("x"), F.xxhash64(F.lit(7), "embedding").alias("y")))
+    rows = rows.withColumn("key", key)
+    nodes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"), F.any_value("embedding").alias("embedding"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "vector-nodes")
-    dims = {r["dim"]: r["n"] for r in nodes.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    dims = {r["dim"]: r["n"] for r in nodes.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).collect()}  # lengths of vectors
     found = [joined(nodes.where(F.size("embedding") == dim).select("node", "weight", "embedding"), dim, n, least, unit) for dim, n in dims.items()]
     if not found:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    links = found[0]
-    for more in found[1:]:
-        links = links.union(more)
-    links = materialize(links, "vector-links")
-    counts = links.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
+    links = materialize(reduce(DataFrame.union, found), "vector-links")
+    counts = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     comp = connected_components(links.where("b is not null"))
-    named = nodes.join(counts, F.col("node") == F.col("a"), "left").drop("a")
-    named = named.join(comp.withColumnRenamed("node", "c"), F.col("node") == F.col("c"), "left").drop("c")
-    named = named.withColumn("component", F.coalesce("component", "node"))
-    named = materialize(named, "vector-named")
-    least_id = materialize(named.groupBy("component").agg(F.min("first").alias("component_id")), "vector-components")
-    named = named.join(least_id, "component").select("embedding", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
-    named = materialize(named, "vector-result")
-    out = valid.join(named, "embedding").select("vec_id", "n_links", "component_id")
-    alone = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    # Only vectors with a link have an entry; all others are alone with their copies.
+    linked = nodes.select("key", "node", "first", "weight").join(comp, "node")
+    linked = materialize(linked.join(counts, "node", "left"), "vector-linked")
+    least_id = linked.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = linked.join(least_id, "component").select("key", F.coalesce("n", F.lit(0)).alias("more"), "component_id")
+    own = nodes.select("key", "first", "weight").join(named, "key", "left")
+    own = own.select("key", (F.coalesce("more", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.when(F.col("component_id").isNull() & F.col("more").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
+    out = rows.select("vec_id", "key").join(own, "key", "left")
+    none = F.col("key").isNull()
+    out = out.select("vec_id", F.when(none, F.lit(0).cast("long")).otherwise(F.col("n_links")).alias("n_links"), F.when(none, F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op1_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
