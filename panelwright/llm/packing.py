@@ -1,16 +1,18 @@
 """Best-fit packing in bulk-synchronous rounds.
 
 Lengths are integers up to the length of a sequence, so documents and gaps sorted by size are runs
-of equal size: at most ``max_len`` runs each, however many documents there are. A round sweeps the
-runs of documents against the runs of gaps for each one's successor (the smallest gap that holds
-it), settles conflicts over a gap by rank (longer first), updates the gaps, and repeats; when no
-gap holds any document of the band, the largest ones open new sequences. Documents themselves are
-ranked within their length on the executors (a running count per task plus the counts of the
-tasks before), and each looks its place up in the intervals that the rounds produced. The plan's
-size is bounded by ``max_len``; no document reaches the driver.
+of equal size. A sweep deals the runs to ranges of sizes; each range matches its documents with
+their successors (the smallest gap that holds one), conflicts over a gap going to the longer
+document; what a range cannot match is carried to the ranges beyond, gaps are brought up to date,
+and the next sweep begins. When a sweep places nothing, the longest documents open new sequences.
+State is written to the shared folder once a round of a few sweeps; the driver sees only how many
+runs are left. The runs' number is bounded by sizes and sweeps, not by documents: those are ranked
+within their length on the executors (a running number per task plus the counts of the tasks
+before), and each meets its placement in a join on (length, block of ranks).
 
 Defined results: a null text is empty and has the one closing id; only documents longer than
-``max_len`` are cut; repeated rows are packed each; an empty table gives no rows; other columns are ignored.
+``max_len`` are cut, very long ones into many pieces; equal lengths are ranked by task and place;
+repeated rows are packed each; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,8 +45,8 @@ WORD_BPE = "word_bpe_49k.json"
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]| |[^\p{White_Space}\p{L}\p{N}]+").findall
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|\n|[^a-z0-9\n]+").findall
 MAX_LEN = 2048
-#: More than the documents of any one length.
-RANKS = 1 << 44
+#: Ranks of a block, by which pieces look up their placement.
+BLOCK = 4096
 #: Segments that a worker remembers; a bound on memory, not on results.
 SEGMENTS = 1_000_000
 CLOSING = 0
@@ -206,87 +208,135 @@ def pieces(docs: DataFrame, max_len: int = MAX_LEN, path: str | None = None, wit
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def plan(count: dict[int, int], max_len: int = MAX_LEN) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, documents, first sequence, offset): documents of one length, by rank, to consecutive sequences."""
-    left = {s: n for s, n in count.items() if n}
-    rank = dict.fromkeys(left, 0)
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs (first sequence, sequences)
-    out: list[tuple[int, int, int, int, int]] = []
-    opened = 0
-
-    def place(size: int, n: int, first: int, gap: int) -> None:
-        out.append((size, rank[size], n, first, max_len - gap))
-        rank[size] += n
-        left[size] -= n
-        if not left[size]:
-            del left[size]
-        if gap > size:
-            gaps.setdefault(gap - size, []).append((first, n))
-
-    def open_for(size: int, n: int) -> None:
-        nonlocal opened
-        place(size, n, opened, max_len)
-        opened += n
-
-    for size in sorted((s for s in left if 2 * s > max_len), reverse=True):  # no two of these share a sequence
-        open_for(size, left[size])
-    while left:
-        top = max(left)
-        band = sorted((s for s in left if s > top // 2), reverse=True)
-        while True:
-            have = np.array(sorted(gaps), np.int64)
-            want: dict[int, list[int]] = {}
-            for size, at in zip(live := [s for s in band if s in left], np.searchsorted(have, live).tolist() if len(have) else []):
-                if at < len(have):
-                    want.setdefault(int(have[at]), []).append(size)
-            if not want:
-                break
-            for gap, sizes in want.items():
-                runs = gaps.pop(gap)
-                for size in sizes:  # longer first
-                    while size in left and runs:
-                        first, n = runs.pop()
-                        m = min(n, left[size])
-                        if m < n:
-                            runs.append((first + m, n - m))
-                        place(size, m, first, gap)
-                if runs:
-                    gaps.setdefault(gap, []).extend(runs)
-        live = [s for s in band if s in left]
-        need = -(-sum(s * left[s] for s in live) // max_len)
-        for size in live:  # as many new sequences as the band's tokens fill, opened by its longest
-            if need <= 0:
-                break
-            n = min(need, left[size])
-            open_for(size, n)
-            need -= n
-    return out
+def matched(docs: list[tuple[int, int, int]], gaps: list[tuple[int, int, int]], max_len: int):
+    """One sweep from long to short: every document takes the smallest gap that holds it and that no longer one has taken.
+
+    Runs in and out: documents (size, first rank, n), gaps (size, first sequence, n); placements
+    (size, first rank, n, first sequence, offset), gaps that are left over, documents left over,
+    and what placements leave of their gaps. The smallest open gap is the one last met, so a stack
+    is all that is needed, and sweeping ranges of sizes first and their leftovers after is the same.
+    """
+    placed, after, left, stack = [], [], [], []
+    waiting = sorted(gaps, reverse=True)
+    at = 0
+    for size, first, n in sorted(docs, reverse=True):
+        while at < len(waiting) and waiting[at][0] >= size:
+            stack.append(waiting[at])
+            at += 1
+        while n and stack:
+            gap, sequence, m = stack.pop()
+            k = min(m, n)
+            if k < m:
+                stack.append((gap, sequence + k, m - k))
+            placed.append((size, first, k, sequence, max_len - gap))
+            if gap > size:
+                after.append((gap - size, sequence, k))
+            first, n = first + k, n - k
+        if n:
+            left.append((size, first, n))
+    return placed, stack + waiting[at:], left, after
+
+
+def opened(docs: list[tuple[int, int, int]], sequences: int, max_len: int):
+    """New sequences for what no gap holds: one for every document longer than half, else as many as the tokens fill, for the longest."""
+    placed, after, left = [], [], []
+    big = any(2 * size > max_len for size, _, _ in docs)
+    need = sum(n for size, _, n in docs if 2 * size > max_len) if big else -(-sum(size * n for size, _, n in docs) // max_len)
+    for size, first, n in sorted(docs, reverse=True):
+        k = min(n, need)
+        need -= k
+        if k:
+            placed.append((size, first, k, sequences, 0))
+            if size < max_len:
+                after.append((max_len - size, sequences, k))
+            sequences += k
+        if k < n:
+            left.append((size, first + k, n - k))
+    return placed, after, left, sequences
+
+
+#: Kinds of a round's rows; PUT and LEFT are placements and gaps of the sweep that is under way.
+DOCS, GAPS, PLACED, OPENED, PUT, LEFT = range(6)
+STATE = "part int, kind int, size int, first long, n long, sequence long, offset int"
+
+
+def state_table(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    names = [c.split()[0] for c in STATE.split(", ")]
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names)
+
+
+def swept(state: DataFrame, max_len: int, width: int) -> DataFrame:
+    """One sweep: ranges of sizes side by side, then what they leave, carried from range to range; gaps are brought up to date."""
+
+    def runs(tbl: pa.Table):
+        rows: dict[int, list[tuple]] = {k: [] for k in range(6)}
+        for part, kind, size, first, n, sequence, offset in zip(*(c.to_pylist() for c in tbl.columns)):
+            rows[kind].append((size, sequence, n) if kind in (GAPS, LEFT) else (size, first, n, sequence, offset)[: 3 if kind == DOCS else 5])
+        return rows
+
+    def table(part, docs, gaps, **others) -> pa.Table:
+        out = [(part(s), DOCS, s, f, n, 0, 0) for s, f, n in docs]
+        for kind, some in ((GAPS, gaps), (LEFT, others.get("after", ()))):
+            out += [(part(s), kind, s, 0, n, q, 0) for s, q, n in some]
+        for kind in (PLACED, OPENED, PUT):
+            out += [(0, kind, *r) for r in others.get("rows", {}).get(kind, ())]
+        return state_table(out)
+
+    def in_range(tbl):
+        rows = runs(tbl)
+        placed, gaps, docs, after = matched(rows[DOCS], rows[GAPS], max_len)
+        return table(lambda s: 0, docs, gaps, after=after + rows[LEFT], rows=rows | {PUT: rows[PUT] + placed})
+
+    def carried(tbl):
+        rows = runs(tbl)
+        placed, gaps, docs, after = matched(rows[DOCS], rows[GAPS], max_len)
+        placed, after = placed + rows[PUT], after + rows[LEFT]
+        sequences = max((r[2] for r in rows[OPENED]), default=0)
+        if docs and not placed:
+            placed, after, docs, sequences = opened(docs, sequences, max_len)
+        return table(lambda s: s // width, docs, gaps + after, rows={PLACED: rows[PLACED] + placed, OPENED: [(0, 0, sequences, 0, 0)]})
+
+    return state.groupBy("part").applyInArrow(in_range, STATE).groupBy("part").applyInArrow(carried, STATE)
+
+
+def rounds(counts: DataFrame, max_len: int, width: int = 128, sweeps: int = 4) -> DataFrame:
+    """Placements (size, first, n, sequence, offset): documents of a size by rank to consecutive sequences.
+
+    ``counts``: documents (n) of every size. State is runs of equal size, at most ``max_len`` of
+    documents, and is written once a round of ``sweeps``; the driver sees how many are left.
+    """
+    spark = counts.sparkSession
+    zero = lambda kind: F.lit(0).cast(kind)
+    state = counts.select(F.floor(F.col("size") / width).cast("int").alias("part"), zero("int").alias("kind"), F.col("size").cast("int"), zero("long").alias("first"), F.col("n").cast("long"), zero("long").alias("sequence"), zero("int").alias("offset"))
+    placed = None
+    while True:
+        for _ in range(sweeps):
+            state = swept(state, max_len, width)
+        state = materialize(state, "packing-round")
+        some = state.where(F.col("kind") == PLACED).select("size", "first", "n", "sequence", "offset")
+        placed = some if placed is None else placed.union(some)
+        if not state.where(F.col("kind") == DOCS).count():
+            return materialize(placed, "placements")
+        state = state.where(F.col("kind") != PLACED)
 
 
 def pack(docs: DataFrame, max_len: int = MAX_LEN, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Every piece with its sequence_id and offset."""
-    spark = docs.sparkSession
     made = materialize(pieces(docs, max_len, path, with_ids), "pieces")
     counts = materialize(made.groupBy("task", "length").agg(F.count("*").alias("n")), "piece-counts")
-    total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most max_len rows
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranked = materialize(counts.select("task", "length", before.alias("before")), "piece-ranks")
-    made = made.join(size_checked(ranked, ranked.count()), ["task", "length"]).withColumn("rank", F.col("before") + F.col("nth")).drop("task", "nth", "before")
-    rows = np.array(sorted(plan(total, max_len)), np.int64).reshape(-1, 5)
-    rows = spark.sparkContext.broadcast(rows)  # intervals: bounded by max_len, whatever the data
-
-    def run(batches):
-        size, first, _, sequence, offset = rows.value.T
-        starts = size * RANKS + first
-        for b in batches:
-            rank = b.column("rank").to_numpy()
-            at = np.searchsorted(starts, b.column("length").to_numpy() * RANKS + rank, side="right") - 1
-            keep = [n for n in b.schema.names if n != "rank"]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(sequence[at] + rank - first[at]), pa.array(offset[at])], [*keep, "sequence_id", "offset"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in made.schema if f.name != "rank")
-    out = made.mapInArrow(run, f"{schema}, sequence_id long, offset long")
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids)
+    made = made.join(size_checked(ranked, ranked.count()), ["task", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
+    placed = rounds(counts.groupBy(F.col("length").alias("size")).agg(F.sum("n").alias("n")), max_len)
+    # A run of ranks is cut where blocks of ranks end, so that pieces of one length, however many, meet theirs all over the cluster.
+    last = F.col("first") + F.col("n") - 1
+    blocks = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor(last / BLOCK))))
+    blocks = materialize(blocks.select(F.col("size").cast("long").alias("length"), "block", "first", last.alias("last"), "sequence", "offset"), "placement-blocks")
+    made = made.withColumn("block", F.floor(F.col("rank") / BLOCK))
+    out = made.join(size_checked(blocks, blocks.count()), ["length", "block"]).where("rank between first and last")
+    sequence = (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id")
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", sequence, F.col("offset").cast("long").alias("offset"), *["ids"] * with_ids)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
