@@ -318,7 +318,7 @@ def hash_of(doc_id: int) -> int:
     return (doc_id * 0x9E3779B97F4A7C15 >> 11) & 0xFFFFFFFF
 
 
-def slices(words: list[list[str]]):
+def runs(words: list[list[str]]):
     at = 0
     while at < len(words):
         to, n = at, 0
@@ -336,7 +336,7 @@ class Scorer:
         self.model, self.emissions = model, Emissions(model)
 
     def marginals(self, words: list[list[str]]) -> np.ndarray:
-        return np.concatenate([doc_marginals(self.model, words[a:b], self.emissions) for a, b in slices(words)] or [np.zeros(0)])
+        return np.concatenate([doc_marginals(self.model, words[a:b], self.emissions) for a, b in runs(words)] or [np.zeros(0)])
 
     def score(self, texts: list[str | None], spans: list[list] | None = None, least: float = 0.5) -> np.ndarray:
         """Score of every text; the toxic spans (start, end, marginal) of each are added to ``spans``."""
