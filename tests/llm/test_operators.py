@@ -1,5 +1,6 @@
 """The training-data operators against brute force on small fixtures, and their edge cases."""
 
+import bisect
 import hashlib
 import itertools
 import json
@@ -541,22 +542,47 @@ def test_packing(spark, sample, texts, odd):
     assert r.ids == [*word_library().encode("a b c", add_special_tokens=False).ids, 0]
 
 
-@pytest.mark.parametrize("seed", range(8))
-def test_plan_places_everything_and_packs_well(seed):
-    rng = np.random.default_rng(seed)
-    limit = int(rng.choice([7, 64, 2048]))
-    count = Counter(np.clip(rng.lognormal(np.log(limit / 6), 1, 20000).astype(int) + 1, 1, limit).tolist())
+def best_fit(count, limit):
+    """Best fit, longest first, one document after the other: the number of sequences."""
+    gaps, bins = [], 0
+    for size in sorted((s for s, n in count.items() for _ in range(n)), reverse=True):
+        at = bisect.bisect_left(gaps, size)
+        gap = gaps.pop(at) if at < len(gaps) else limit
+        bins += gap == limit
+        if gap > size:
+            bisect.insort(gaps, gap - size)
+    return bins
+
+
+@pytest.mark.parametrize("limit, mean, sweeps", [(7, 2, 1), (64, 20, 3), (2048, 300, 4)])
+def test_rounds_place_everything_as_well_as_best_fit(spark, limit, mean, sweeps):
+    rng = np.random.default_rng(limit)
+    count = Counter(np.clip(rng.lognormal(np.log(mean), 1, 3000).astype(int) + 1, 1, limit).tolist())
+    frame = spark.createDataFrame(list(count.items()), "size int, n long")
     fill, ranks = Counter(), {}
-    for size, rank, n, first, offset in packing.plan(count, limit):
-        ranks.setdefault(size, []).append((rank, n))
-        for b in range(first, first + n):
-            assert fill[b] == offset and offset + size <= limit
-            fill[b] += size
+    for r in packing.rounds(frame, limit, width=max(1, limit // 5), sweeps=sweeps).orderBy("offset").collect():
+        ranks.setdefault(r.size, []).append((r["first"], r.n))
+        for b in range(r.sequence, r.sequence + r.n):
+            assert fill[b] == r.offset and r.offset + r["size"] <= limit
+            fill[b] += r["size"]
     for size, r in ranks.items():
-        assert sorted(r)[0][0] == 0 and sum(n for _, n in r) == count[size]
-    big = sum(n for s, n in count.items() if 2 * s > limit)
-    least = max(-(-sum(s * n for s, n in count.items()) // limit), big)
-    assert len(fill) <= 1.02 * least + 1
+        ends = 0
+        for first, n in sorted(r):
+            assert first == ends
+            ends += n
+        assert ends == count[size]
+    assert sorted(fill) == list(range(len(fill))) and len(fill) <= 1.01 * best_fit(count, limit) + 1
+
+
+def test_ranges_and_carry_equal_one_sweep():
+    rng = np.random.default_rng(3)
+    docs = [(int(s), 0, int(n)) for s, n in zip(rng.permutation(200)[:60] + 1, rng.integers(1, 9, 60))]
+    gaps = [(int(s), 100 * k, int(n)) for k, (s, n) in enumerate(zip(rng.integers(1, 200, 80), rng.integers(1, 9, 80)))]
+    want = packing.matched(docs, gaps, 200)
+    parts = [packing.matched([d for d in docs if d[0] // 32 == k], [g for g in gaps if g[0] // 32 == k], 200) for k in range(8)]
+    last = packing.matched([d for p in parts for d in p[2]], [g for p in parts for g in p[1]], 200)
+    single = lambda placed: Counter((s, q + k, o) for s, _, n, q, o in placed for k in range(n))
+    assert single(want[0]) == single(last[0] + [x for p in parts for x in p[0]])
 
 
 def word_ids_of(texts):
