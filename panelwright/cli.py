@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from panelwright import config
-from panelwright.operators import blend, cv, features, folds, integrity, metrics, mlp, profile
+from panelwright.operators import blend, cv, features, folds, integrity, metrics, mlp, models, profile, reveal
 from panelwright.schema import KEY, PANEL
 from panelwright.sources import panel as source
 
@@ -24,8 +24,10 @@ def session() -> SparkSession:
 
 def ingest(a) -> int:
     spark, began = session(), time.time()
-    cfg = config.get_config("FULL")
-    raw = source.read_csv(spark, a.csv).withColumn("time_id", source.time_id(cfg))
+    cfg = config.configured("FULL")
+    staging = f"{a.out.rstrip('/')}.staging"
+    source.read_csv(spark, a.csv).withColumn("time_id", source.time_id(cfg)).write.mode("overwrite").parquet(staging)  # the text is parsed once
+    raw = spark.read.parquet(staging)
     kind = profile.float32_gate(raw)
     out = source.downcast(raw, kind)
     if not a.smoke_only:
@@ -33,32 +35,33 @@ def ingest(a) -> int:
     if a.smoke:
         source.write_panel(source.block_sample(out), a.smoke)
     numeric = [f.name for f in PANEL if f.name not in KEY]
-    manifest = {
-        "target_type": kind,
-        "dtypes": dict(out.dtypes),
-        "coverage": rows(profile.coverage(raw, cfg))[0],
-        "partial_sessions": rows(profile.partial_session_sizes(raw, cfg)),
-        "thinnest_stocks": rows(profile.thinnest_stocks(raw, 10)),
-        "missing_dates": rows(profile.date_gaps(raw))[0],
-        "nulls": rows(profile.null_counts(raw, numeric)),
-        "null_rate_by_bucket": rows(profile.null_rate_by_bucket(raw).orderBy("seconds_in_bucket")),
-        "precision": rows(profile.precision_probe(raw, [c for c in numeric if c not in ("imbalance_buy_sell_flag", "time_id")])),
-        "target": rows(profile.describe_target(raw))[0],
-        "quantiles": rows(profile.target_quantiles(raw)),
-        "build_seconds": time.time() - began,
+    parts = {
+        "coverage": lambda: rows(profile.coverage(raw, cfg))[0],
+        "invariants": lambda: rows(profile.invariants(raw, cfg))[0],
+        "partial_sessions": lambda: rows(profile.partial_session_sizes(raw, cfg)),
+        "thinnest_stocks": lambda: rows(profile.thinnest_stocks(raw, 10)),
+        "missing_dates": lambda: rows(profile.date_gaps(raw))[0],
+        "nulls": lambda: rows(profile.null_counts(raw, numeric)),
+        "null_rate_by_bucket": lambda: rows(profile.null_rate_by_bucket(raw).orderBy("seconds_in_bucket")),
+        "precision": lambda: rows(profile.precision_probe(raw, [c for c in numeric if c not in ("imbalance_buy_sell_flag", "time_id")])),
+        "target": lambda: rows(profile.describe_target(raw))[0],
+        "quantiles": lambda: rows(profile.target_quantiles(raw)),
     }
-    source.write_json(a.manifest, manifest)
+    made = dict(zip(parts, cv.at_once(lambda f: f(), list(parts.values()))))  # column-pruned scans, side by side
+    source.write_json(a.manifest, {"target_type": kind, "dtypes": dict(out.dtypes), **made, "build_seconds": time.time() - began})
+    source.remove(spark, staging)
     return 0
 
 
 def loaded(a):
     spark = session()
-    cfg = config.get_config(a.preset or "FULL", date_stride=getattr(a, "date_stride", 1))
+    cfg = config.configured(a.preset or "FULL", date_stride=getattr(a, "date_stride", 1))
     return spark, cfg, source.read_panel(spark, a.panel, cfg)
 
 
 def evaluation(spark, cfg, result: cv.CvResult, headline: str) -> dict:
-    oof = result.oof.persist()
+    # Models are compared on the rows that all of them score.
+    oof = metrics.on_common_rows(result.oof, KEY).persist()
     per = metrics.per_fold(oof)
     own = oof.where(F.col("model") == headline)
     by = {k: rows(metrics.consistency(metrics.breakdown(own, k)))[0] for k in ("date_id", "seconds_in_bucket", "stock_id")}
@@ -88,6 +91,8 @@ def ablations(a) -> int:
     out = {
         "preset": cfg.name,
         "ridge": cv.ridge_ablations(data, cfg, made),
+        "sd_inflation": models.sd_inflation(data),
+        "index_leg": rows(reveal.leg_summary(df, cfg, (cfg.horizon - 1, cfg.horizon + 1)))[0],
         "autocorrelation": rows(profile.carry_autocorrelation_summary(data))[0],
         "dispersion": rows(profile.stock_dispersion_summary(data))[0],
         "empty_books": rows(profile.empty_books(df)),
@@ -99,13 +104,27 @@ def ablations(a) -> int:
 def memory(a) -> int:
     spark, cfg, df = loaded(a)
     result = cv.run_cv(df, cfg, cv.memory_models(cfg, a.ablate, trees=a.trees))
-    source.write_json(a.out, evaluation(spark, cfg, result, "gbt_mem"))
+    out = evaluation(spark, cfg, result, "gbt_mem")
+    if a.arm:
+        source.write_arm(result.oof, a.arm)
+    if a.before:
+        before = spark.createDataFrame([(r["model"], float(r["mae_bps"])) for r in source.read_json(a.before)["scorecard"]], "model string, mae_bps double")
+        out["replica"] = rows(metrics.replica_check(metrics.scorecard(result.oof), before))
+    source.write_json(a.out, out)
     return 0
 
 
 def ensemble(a) -> int:
     spark, cfg, df = loaded(a)
-    trees = cv.run_cv(df, cfg, [m for m in cv.memory_models(cfg, trees=a.trees) if m.name in ("zero", "gbt_mem")])
+    if a.arm:  # another process has run the trees: its rows must be this panel's
+        made = folds.make_folds(folds.date_axis(cv.prepare(df, cfg, lambda d, c: d)), cfg)
+        trees = cv.CvResult(made, source.read_arm(spark, a.arm).where(F.col("model").isin("zero", "gbt_mem")))
+        mine = folds.assign(df.where("target is not null"), made, "validation").select(*KEY, "fold")
+        differ = metrics.reconcile(trees.oof.where("model = 'zero'"), mine, [*KEY, "fold"])
+        if any(differ.values()):
+            raise ValueError(f"the arm at {a.arm} was run on other rows: {differ}")
+    else:
+        trees = cv.run_cv(df, cfg, [m for m in cv.memory_models(cfg, trees=a.trees) if m.name in ("zero", "gbt_mem")])
     data = cv.prepare(df, cfg).persist()
     net = mlp.Mlp().fit_folds(folds.assign(data, trees.folds, "train"), cfg)
     oof = trees.oof
@@ -151,8 +170,8 @@ def main(argv: list[str] | None = None) -> int:
     command("ingest", ingest, ("--csv", need), out, ("--manifest", need), ("--smoke", {}), ("--smoke-only", {"action": "store_true"}))
     command("baselines", baselines, data, preset, out, ("--date-stride", {"type": int, "default": 1}))
     command("ablations", ablations, data, preset, out)
-    command("features", memory, data, preset, out, trees, ("--ablate", {"action": "store_true"}))
-    command("ensemble", ensemble, data, preset, out, trees)
+    command("features", memory, data, preset, out, trees, ("--ablate", {"action": "store_true"}), ("--arm", {}), ("--before", {}))
+    command("ensemble", ensemble, data, preset, out, trees, ("--arm", {}))
     command("check-manifest", check_manifest, ("--repo", {"default": "."}), ("--ref", {"default": "HEAD"}), ("--path", need), ("--rebuilt", need))
     command("compare", compare, ("--benchmarks", need), ("--reports", {"nargs": "*", "default": []}), ("--models", {"nargs": "*", "default": []}), out)
     a = p.parse_args(argv)

@@ -6,6 +6,7 @@ import copy
 import warnings
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -13,11 +14,11 @@ from pyspark.sql import functions as F
 
 from panelwright.config import Config
 from panelwright.operators.features import ALL_FEATURES, FAMILIES, ROW_FEATURES, UNBOUNDED, UNBOUNDED_MEMORY, build_memory_features
-from panelwright.operators.folds import Fold, date_axis, make_folds
-from panelwright.operators.metrics import mae
+from panelwright.operators.folds import Fold, assign, date_axis, make_folds
+from panelwright.operators.metrics import check_scored, per_fold
 from panelwright.operators.models import BoostedTrees, Carry, ConstantMedian, Ridge, Zero
 from panelwright.operators.reveal import add_revealed_target
-from panelwright.schema import KEY
+from panelwright.schema import KEY, check_keys
 
 
 CONCURRENT = 8
@@ -30,6 +31,10 @@ class CvResult:
     coefficients: dict = field(default_factory=dict)
     importance: dict = field(default_factory=dict)
 
+    def release(self) -> CvResult:
+        self.oof.unpersist()
+        return self
+
 
 def default_models(cfg: Config) -> list:
     return [Zero(), ConstantMedian(), Carry("carry_raw", 1.0), Carry(), Ridge(alpha=cfg.ridge_alpha), Ridge("ridge_noscale", alpha=cfg.ridge_alpha, rescale=False)]
@@ -70,39 +75,47 @@ def at_once(f, jobs: list) -> list:
 
 
 def ridge_ablations(rows: DataFrame, cfg: Config, folds: list[Fold]) -> list[tuple[str, int, float]]:
-    """(variant, fold, MAE) of every ridge variant on every fold."""
+    """(variant, fold, MAE) of every ridge variant on every fold; a variant's folds are fitted together."""
+    train, val = assign(rows, folds, "train"), assign(rows, folds, "validation")
 
-    def one(job: tuple[str, Fold]) -> tuple[str, int, float]:
-        (model, config), f = RIDGE_VARIANTS[job[0]], job[1]
+    def one(variant: str) -> list[tuple[str, int, float]]:
+        model, config = RIDGE_VARIANTS[variant]
         own = replace(cfg, **config)
-        train, val = (rows.where(F.col("date_id").isin(list(d))) for d in (f.train_dates, f.val_dates))
-        return job[0], f.index, mae(Ridge(**({"alpha": own.ridge_alpha} | model)).fit(train, own).predict(val))
+        oof = Ridge(**({"alpha": own.ridge_alpha} | model)).fit_folds(train, own).predict_folds(val).withColumn("model", F.lit(variant))
+        check_scored(oof)
+        return [(variant, r["fold"], r["mae_bps"]) for r in per_fold(oof).orderBy("fold").collect()]
 
-    return at_once(one, [(v, f) for v in RIDGE_VARIANTS for f in folds])
+    return [r for rs in at_once(one, list(RIDGE_VARIANTS)) for r in rs]
 
 
 def run_cv(df: DataFrame, cfg: Config, models: list, builder=build_memory_features) -> CvResult:
-    """Features are causal, so they are built once and cut by fold. Out-of-fold rows exist for validation dates alone."""
+    """Features are causal, so they are built once and cut by fold. Out-of-fold rows exist for validation dates alone.
+
+    Refuses repeated keys, features that are not finite (as they are built), and a model that leaves
+    a labelled validation row without a finite prediction. The out-of-fold table is cached until
+    ``CvResult.release``; without its cache it is computed again, with the same rows.
+    """
+    check_keys(df)
     rows = prepare(df, cfg, builder).persist(StorageLevel.MEMORY_AND_DISK)
-    missing = rows.agg(F.avg(F.col("revealed_target").isNull().cast("double"))).first()[0]
-    if missing is not None and missing > 0.25:
-        warnings.warn(f"{missing:.0%} of rows have no revealed target; carry models say little", stacklevel=2)
-    folds = make_folds(date_axis(rows), cfg)
-    result = CvResult(folds, None)
-
-    def one(job: tuple[Fold, object]) -> DataFrame:
-        f, m = job[0], copy.deepcopy(job[1])
-        train, val = (rows.where(F.col("date_id").isin(list(d))) for d in (f.train_dates, f.val_dates))
-        m.fit(train, cfg)
-        if hasattr(m, "coefficients"):
-            result.coefficients[m.name, f.index] = m.coefficients()
-        if hasattr(m, "importance"):
-            result.importance[m.name, f.index] = m.importance()
-        return m.predict(val).select(*KEY, F.lit(f.index).alias("fold"), F.lit(m.name).alias("model"), "target", "prediction")
-
-    parts = at_once(one, [(f, m) for f in folds for m in models])
-    oof = parts[0]
-    for p in parts[1:]:
-        oof = oof.unionByName(p)
-    result.oof = oof
-    return result
+    try:
+        missing = rows.agg(F.avg(F.col("revealed_target").isNull().cast("double"))).first()[0]
+        if missing is not None and missing > 0.25:
+            warnings.warn(f"{missing:.0%} of rows have no revealed target; carry models say little", stacklevel=2)
+        folds = make_folds(date_axis(rows), cfg)
+        train, val = assign(rows, folds, "train"), assign(rows, folds, "validation")
+        result = CvResult(folds, None)
+
+        def one(model) -> DataFrame:
+            m = copy.deepcopy(model).fit_folds(train, cfg)
+            for f in folds:
+                if hasattr(m, "coefficients"):
+                    result.coefficients[m.name, f.index] = m.coefficients(f.index)
+                if hasattr(m, "importance"):
+                    result.importance[m.name, f.index] = m.importance(f.index)
+            return m.predict_folds(val).select(*KEY, "fold", F.lit(m.name).alias("model"), "target", "prediction")
+
+        result.oof = reduce(DataFrame.unionByName, at_once(one, models)).persist(StorageLevel.MEMORY_AND_DISK)
+        check_scored(result.oof)
+        return result
+    finally:
+        rows.unpersist()

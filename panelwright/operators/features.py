@@ -1,8 +1,9 @@
 """The 31 causal features: 14 of the row alone, 17 with memory.
 
 Every feature is a column expression; columns that later ones reuse are staged so that Catalyst
-computes them once. Missing inputs are NULL (``schema.nan_to_null``). A value that is missing
-although the row has a price book is an error, not a zero: ``check_features`` counts such rows.
+computes them once. Missing inputs are NULL (``schema.nan_to_null``). A value that is not finite
+although the row has a price book is an error, not a zero: the built columns raise where they meet
+one, so no query can go on with it, and ``guard_counts`` says which features and how many rows.
 """
 
 from __future__ import annotations
@@ -128,8 +129,17 @@ def _with_raw_memory(df: DataFrame, fixed_lag: int = 6) -> DataFrame:
     return df.drop(r + "stock_vol_20d_bps")
 
 
-def _finish(df: DataFrame) -> DataFrame:
-    return df.withColumns({k: or_zero(F.col(_RAW + k)) for k in ROW_FEATURES}).drop(*(_RAW + k for k in ROW_FEATURES))
+def _refused(name: str) -> Column:
+    return F.raise_error(F.lit(f"feature {name} is not finite on a row with a price book")).cast("double")
+
+
+def _finish(df: DataFrame, memory: list[str] = ()) -> DataFrame:
+    """Zeros for the missing, on rows without a book only; an error for what is not finite on others. Part of the projection, no extra pass."""
+    book = F.col("wap").isNotNull()
+    bad = lambda c: ~F.coalesce(finite(F.col(c)), F.lit(False))
+    made = {k: F.when(book & bad(_RAW + k), _refused(k)).otherwise(or_zero(F.col(_RAW + k))) for k in ROW_FEATURES}
+    made |= {k: F.when(book & bad(k), _refused(k)).otherwise(F.col(k)) for k in memory}
+    return df.withColumns(made).drop(*(_RAW + k for k in ROW_FEATURES))
 
 
 def build_row_features(df: DataFrame, cfg: Config) -> DataFrame:
@@ -143,13 +153,18 @@ def build_memory_features(df: DataFrame, cfg: Config) -> DataFrame:
     Two exchanges serve the windows (by session, by instant). ``df.repartition("date_id")`` before
     serves both with one, at the price of no more tasks than dates; that pays only on small panels.
     """
-    return _finish(_with_raw_memory(_with_raw_rows(df, cfg)))
+    return _finish(_with_raw_memory(_with_raw_rows(df, cfg)), MEMORY_FEATURES)
 
 
-def check_features(df: DataFrame, cfg: Config) -> dict[str, int]:
-    """Rows with a price book whose feature is not finite, by feature; raises if there are any. One aggregate."""
+def guard_counts(df: DataFrame, cfg: Config) -> DataFrame:
+    """(feature, bad): rows with a price book whose row feature is not finite; one aggregate, nothing raised."""
     raw = _with_raw_rows(df, cfg)
-    bad = raw.agg(*(F.count_if(F.col("wap").isNotNull() & ~F.coalesce(finite(F.col(_RAW + k)), F.lit(False))).alias(k) for k in ROW_FEATURES)).first().asDict()
-    if any(bad.values()):
-        raise ValueError(f"features that are not finite on rows with a price book: { {k: n for k, n in bad.items() if n} }")
-    return bad
+    bad = raw.agg(*(F.count_if(F.col("wap").isNotNull() & ~F.coalesce(finite(F.col(_RAW + k)), F.lit(False))).alias(k) for k in ROW_FEATURES))
+    return bad.select(F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), F.col(k).alias("bad")) for k in ROW_FEATURES))).alias("p")).select("p.*")
+
+
+def check_features(df: DataFrame, cfg: Config) -> None:
+    """Raise beforehand, with all counts, what the built columns would raise on the first such row."""
+    bad = {r["feature"]: r["bad"] for r in guard_counts(df, cfg).where("bad > 0").collect()}
+    if bad:
+        raise ValueError(f"features that are not finite on rows with a price book: {bad}")

@@ -28,9 +28,24 @@ def optimal(df: DataFrame, y: Column, p, coarse: np.ndarray, half: float = 0.05,
     return best(fine, grid_losses(df, y, p, fine)[None])
 
 
+def optimal_scales(df: DataFrame, y: Column, p: Column, by: str) -> dict[int, float]:
+    """Per group, a >= 0 that minimises the mean of |y - a p|; 0 where p says nothing. Two aggregates for all groups."""
+    rows = df.where(y.isNotNull() & p.isNotNull()).select(by, y.alias("_y"), p.alias("_p"))
+    coarse = np.linspace(0, 2, 41)
+    loss = lambda a: F.avg(F.abs(F.col("_y") - a * F.col("_p")))
+    first, out = {}, {}
+    for r in rows.groupBy(by).agg(F.count_if(F.col("_p") != 0).alias("says"), *(loss(F.lit(float(a))).alias(f"g{i}") for i, a in enumerate(coarse))).collect():
+        out[r[by]] = 0.0
+        if r["says"]:
+            first[r[by]] = best(coarse, np.array([r[f"g{i}"] for i in range(len(coarse))]))
+    if first:
+        fine = {f: np.clip(np.linspace(a - 0.05, a + 0.05, 21), 0.0, None) for f, a in first.items()}
+        at = lambda i: F.coalesce(*(F.when(F.col(by) == f, F.lit(float(g[i]))) for f, g in fine.items()))
+        for r in rows.where(F.col(by).isin(list(fine))).groupBy(by).agg(*(loss(at(i)).alias(f"g{i}") for i in range(21))).collect():
+            out[r[by]] = best(fine[r[by]], np.array([r[f"g{i}"] for i in range(21)]))
+    return out
+
+
 def optimal_scale(df: DataFrame, y: Column, p: Column) -> float:
-    """a >= 0 that minimises the mean of |y - a p|; 0 where p says nothing."""
-    rows = df.where(y.isNotNull() & p.isNotNull())
-    if rows.where(p != 0).limit(1).count() == 0:
-        return 0.0
-    return optimal(rows, y, lambda a: F.lit(a) * p, np.linspace(0, 2, 41)) or 0.0
+    """The same for one whole frame."""
+    return optimal_scales(df.withColumn("_all", F.lit(0)), y, p, "_all").get(0, 0.0)

@@ -86,6 +86,21 @@ def scored_by_all(oof: DataFrame, keys: list[str], models: int) -> DataFrame:
     return oof.where(ok).groupBy(*keys).agg(F.countDistinct("model").alias("m")).where(F.col("m") == models).select(*keys)
 
 
+def check_scored(oof: DataFrame) -> None:
+    """Every model must predict every labelled row it was asked for: one aggregate over the long table."""
+    bad = ~F.coalesce(finite(F.col("prediction")), F.lit(False))
+    groups = oof.where("target is not null").groupBy("model", "fold").agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"))
+    some = groups.where("bad > 0").orderBy("model", "fold").limit(10).collect()
+    if some:
+        raise MetricError("; ".join(f"{r['model']}, fold {r['fold']}: {r['bad']} of {r['n']} labelled rows have no finite prediction" for r in some))
+
+
+def on_common_rows(oof: DataFrame, keys: list[str]) -> DataFrame:
+    """The long table on the rows that all its models score, so that models are compared on the same ones."""
+    n = oof.select("model").distinct().count()
+    return oof.join(scored_by_all(oof, keys, n), keys, "left_semi")
+
+
 def reconcile(a: DataFrame, b: DataFrame, columns: list[str]) -> dict[str, int]:
     """Rows of either side that the other lacks, duplicates included."""
     a, b = a.select(*columns), b.select(*columns)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from panelwright.config import Config
 from panelwright.operators.features import ALL_FEATURES
 from panelwright.operators.folds import inner_split
-from panelwright.operators.seeding import fork
+from panelwright.operators.seeding import stream
 
 
 @dataclass
@@ -69,8 +69,8 @@ class Net:
 
 def train_net(x, stock, y, dates, *, label: str, stocks: int, embed=8, hidden=(256, 128, 64), dropout=0.1, rate=1e-3, decay=1e-5, batch=4096, epochs=20, patience=3, holdout=0.1, embargo=2) -> tuple[Net, list[float], int]:
     """Adam on the training dates, early stopping on the held-out last ones; the best checkpoint is kept."""
-    rng = fork(f"{label}-init")
-    order, drop = fork(f"{label}-batches"), fork(f"{label}-dropout")
+    rng = stream(label, "init")
+    order, drop = stream(label, "batches"), stream(label, "dropout")
     left, held = inner_split(sorted(set(dates.tolist())), holdout, embargo)
     tr, va = np.isin(dates, left), np.isin(dates, held)
     sd = x[tr].std(axis=0)

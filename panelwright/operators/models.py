@@ -1,12 +1,16 @@
-"""Models: ``fit(df) -> self`` is an aggregate, ``predict(df)`` adds a column named prediction.
+"""Models, fitted on all folds at once: ``fit_folds(train)`` is a few aggregates grouped by fold.
 
-Frames carry the panel's key, target, revealed_target and features; no model relies on row order.
+``train`` repeats a row for each fold that trains on it (``folds.assign``), so a model costs the
+same number of passes whatever the number of folds; ``predict_folds`` adds a column named
+prediction with each row's own fold's parameters. ``fit`` and ``predict`` are the same on one
+unnamed fold. Frames carry the panel's key, target, revealed_target and features; no model relies
+on row order.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from typing import Protocol
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -15,73 +19,133 @@ from pyspark.sql import functions as F
 from panelwright.config import Config
 from panelwright.functions.columns import clip, or_zero
 from panelwright.operators.features import ROW_FEATURES, UNBOUNDED
-from panelwright.operators.grid import optimal_scale
+from panelwright.operators.grid import optimal_scales
 
+#: The one fold of ``fit``.
+WHOLE = 0
+FOLD = "_model_fold"
+
+
+def of_fold(by: str, values: dict[int, Column | float]) -> Column:
+    """Every row's own fold's value: only that branch is computed."""
+    out = F.lit(None).cast("double")
+    for k, v in values.items():
+        out = F.when(F.col(by) == k, v if isinstance(v, Column) else F.lit(float(v))).otherwise(out)
+    return out
+
+
+class Model:
+    """What all models share: fitting one frame is fitting one fold."""
 
-class Model(Protocol):
     name: str
 
-    def fit(self, df: DataFrame, cfg: Config) -> Model: ...
+    def fit_folds(self, train: DataFrame, cfg: Config, by: str = "fold") -> Model:
+        raise NotImplementedError
 
-    def predict(self, df: DataFrame) -> DataFrame: ...
+    def predict_folds(self, val: DataFrame, by: str = "fold") -> DataFrame:
+        raise NotImplementedError
+
+    def fit(self, df: DataFrame, cfg: Config) -> Model:
+        return self.fit_folds(df.withColumn(FOLD, F.lit(WHOLE)), cfg, FOLD)
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return self.predict_folds(df.withColumn(FOLD, F.lit(WHOLE)), FOLD).drop(FOLD)
 
 
 @dataclass
-class Zero:
+class Zero(Model):
     name: str = "zero"
 
-    def fit(self, df: DataFrame, cfg: Config) -> Zero:
+    def fit_folds(self, train: DataFrame, cfg: Config, by: str = "fold") -> Zero:
         return self
 
-    def predict(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("prediction", F.lit(0.0))
+    def predict_folds(self, val: DataFrame, by: str = "fold") -> DataFrame:
+        return val.withColumn("prediction", F.lit(0.0))
 
 
 @dataclass
-class ConstantMedian:
+class ConstantMedian(Model):
     name: str = "constant_median"
-    value: float = 0.0
+    values: dict[int, float] = field(default_factory=dict)
 
-    def fit(self, df: DataFrame, cfg: Config) -> ConstantMedian:
-        self.value = df.agg(F.median("target")).first()[0] or 0.0
+    def fit_folds(self, train: DataFrame, cfg: Config, by: str = "fold") -> ConstantMedian:
+        median = F.percentile_approx("target", F.lit(0.5), 100_000) if cfg.approximate else F.median("target")
+        self.values = {r[by]: r["m"] or 0.0 for r in train.groupBy(by).agg(median.alias("m")).collect()}
         return self
 
-    def predict(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("prediction", F.lit(float(self.value)))
+    def predict_folds(self, val: DataFrame, by: str = "fold") -> DataFrame:
+        return val.withColumn("prediction", of_fold(by, self.values))
 
 
 @dataclass
-class Carry:
+class Carry(Model):
     """The previous date's target times a factor; without a given one, the MAE-optimal factor of the training rows."""
 
     name: str = "carry_shrunk"
     shrink: float | None = None
-    fitted: float = 0.0
+    fitted: dict[int, float] = field(default_factory=dict)
 
-    def fit(self, df: DataFrame, cfg: Config) -> Carry:
-        self.fitted = self.shrink if self.shrink is not None else optimal_scale(df, F.col("target"), or_zero(F.col("revealed_target")))
+    def fit_folds(self, train: DataFrame, cfg: Config, by: str = "fold") -> Carry:
+        if self.shrink is None:
+            self.fitted = optimal_scales(train, F.col("target"), or_zero(F.col("revealed_target")), by)
         return self
 
-    def predict(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("prediction", F.lit(float(self.fitted)) * or_zero(F.col("revealed_target")))
+    def predict_folds(self, val: DataFrame, by: str = "fold") -> DataFrame:
+        factor = F.lit(float(self.shrink)) if self.shrink is not None else of_fold(by, self.fitted)
+        return val.withColumn("prediction", factor * or_zero(F.col("revealed_target")))
+
+
+Bounds = dict[str, tuple[float, float]]
 
 
-def quantile_bounds(df: DataFrame, columns: list[str], q: float = 0.001, skip: list[str] = UNBOUNDED, approximate: bool = False) -> dict[str, tuple[float, float]]:
-    """(q, 1 - q) quantiles by linear interpolation; ``approximate`` bounds memory on huge tables."""
+def fold_bounds(df: DataFrame, columns: list[str], by: str, q: float = 0.001, skip: list[str] = UNBOUNDED, approximate: bool = False) -> dict[int, Bounds]:
+    """(q, 1 - q) quantiles per fold by linear interpolation; ``approximate`` bounds memory on huge tables. One aggregate."""
     use = [c for c in columns if c not in skip]
     at = F.array(F.lit(q), F.lit(1 - q))
     of = (lambda c: F.percentile_approx(c, at, 100_000)) if approximate else (lambda c: F.percentile(c, at))
-    r = df.agg(*(of(c).alias(c) for c in use)).first() if use else {}
-    return {c: (r[c][0], r[c][1]) for c in use if r[c] is not None}
+    if not use:
+        return {}
+    rows = df.groupBy(by).agg(*(of(c).alias(c) for c in use)).collect()
+    return {r[by]: {c: (r[c][0], r[c][1]) for c in use if r[c] is not None} for r in rows}
 
 
-def clipped(c: str, bounds: dict[str, tuple[float, float]]) -> Column:
+def quantile_bounds(df: DataFrame, columns: list[str], q: float = 0.001, skip: list[str] = UNBOUNDED, approximate: bool = False) -> Bounds:
+    return fold_bounds(df.withColumn(FOLD, F.lit(WHOLE)), columns, FOLD, q, skip, approximate).get(WHOLE, {})
+
+
+def clipped(c: str, bounds: Bounds) -> Column:
     return clip(F.col(c), *bounds[c]) if c in bounds else F.col(c)
 
 
+def sd_inflation(df: DataFrame, columns: list[str] = ROW_FEATURES, approximate: bool = False) -> dict[str, float]:
+    """How many times larger a column's deviation is before clipping than after; two aggregates."""
+    bounds = quantile_bounds(df, columns, approximate=approximate)
+    sd = F.stddev_samp
+    one = df.agg(*(F.when(sd(clipped(c, bounds)) > 0, sd(c) / sd(clipped(c, bounds))).otherwise(1.0).alias(c) for c in bounds)).first()
+    return one.asDict()
+
+
+@dataclass
+class RidgeFit:
+    """One fold's parameters."""
+
+    bounds: Bounds
+    mean: np.ndarray
+    sd: np.ndarray
+    coef: np.ndarray
+    intercept: float
+    scale: float = 1.0
+
+    def raw(self, columns: list[str], clip_it: bool) -> Column:
+        p = F.lit(self.intercept)
+        for i, c in enumerate(columns):
+            p = p + (clipped(c, self.bounds if clip_it else {}) - float(self.mean[i])) / float(self.sd[i]) * float(self.coef[i])
+        return p * float(self.scale)
+
+
 @dataclass
-class Ridge:
-    """Winsorised, standardised (population deviation) ridge from one Gram aggregate and a small solve on the driver.
+class Ridge(Model):
+    """Winsorised, standardised (population deviation) ridge: one aggregate of bounds, one of moments and products of all folds, a small solve per fold on the driver.
 
     The target is clipped for the fit only; ``rescale`` multiplies predictions by their MAE-optimal factor.
     """
@@ -93,57 +157,56 @@ class Ridge:
     clip_in_fit: bool = True
     clip_in_predict: bool = True
     skip: list[str] = field(default_factory=lambda: list(UNBOUNDED))
-    bounds: dict = field(default_factory=dict)
-    coef: np.ndarray | None = None
-    intercept: float = 0.0
-    scale: float = 1.0
-    mean: np.ndarray | None = None
-    sd: np.ndarray | None = None
-
-    def fit(self, df: DataFrame, cfg: Config) -> Ridge:
-        df = df.where("target is not null")
-        self.bounds = quantile_bounds(df, self.columns, skip=self.skip) if self.clip_in_fit or self.clip_in_predict else {}
-        own = self.bounds if self.clip_in_fit else {}
-        x = df.select(*(clipped(c, own).alias(f"x{i}") for i, c in enumerate(self.columns)), "target")
+    fits: dict[int, RidgeFit] = field(default_factory=dict)
+
+    @property
+    def coef(self) -> np.ndarray:
+        return self.fits[WHOLE].coef
+
+    def fit_folds(self, train: DataFrame, cfg: Config, by: str = "fold") -> Ridge:
+        train = train.where("target is not null")
         k = len(self.columns)
+        bounds = fold_bounds(train, self.columns, by, skip=self.skip, approximate=cfg.approximate) if self.clip_in_fit or self.clip_in_predict else {}
+        # Sums are of differences from a rough centre, so that no column's level cancels its spread.
+        centre = train.agg(*(F.avg(c).alias(f"c{i}") for i, c in enumerate(self.columns))).first()
+        centre = [float(x or 0.0) for x in centre]
+        limit = lambda i, c, side: of_fold(by, {f: b[c][side] for f, b in bounds.items() if c in b})
+        bounded = {c for b in bounds.values() for c in b} if self.clip_in_fit else set()
+        x = [(clip(F.col(c), limit(i, c, 0), limit(i, c, 1)) if c in bounded else F.col(c)) - centre[i] for i, c in enumerate(self.columns)]
         y = clip(F.col("target"), -cfg.fit_clip_bps, cfg.fit_clip_bps) if cfg.fit_clip_bps is not None else F.col("target")
-        moments = x.agg(F.count("*").alias("n"), F.avg(y).alias("y"), *(f(f"x{i}").alias(f"{n}{i}") for i in range(k) for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
-        if not moments["n"]:
+        d = train.select(by, *(e.alias(f"x{i}") for i, e in enumerate(x)), y.alias(f"x{k}"))
+        pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+        sums = d.groupBy(by).agg(F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(k + 1)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"g{i}_{j}") for i, j in pairs)).collect()
+        if not sums:
             raise ValueError("no labelled row to fit on")
-        self.mean = np.array([moments[f"m{i}"] for i in range(k)])
-        sd = np.array([moments[f"s{i}"] for i in range(k)])
-        self.sd = np.where(sd > 0, sd, 1.0)
-        # Products of centred columns: no cancellation, whatever the columns' level.
-        z = [(F.col(f"x{i}") - float(self.mean[i])) / float(self.sd[i]) for i in range(k)]
-        z = x.select(*(c.alias(f"z{i}") for i, c in enumerate(z)), (y - float(moments["y"])).alias("t"))
-        pairs = [(i, j) for i in range(k) for j in range(i, k)]
-        sums = z.agg(*(F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"g{i}_{j}") for i, j in pairs), *(F.sum(F.col(f"z{i}") * F.col("t")).alias(f"b{i}") for i in range(k))).first()
-        gram = np.zeros((k, k))
-        for i, j in pairs:
-            gram[i, j] = gram[j, i] = sums[f"g{i}_{j}"]
-        self.coef = np.linalg.solve(gram + self.alpha * np.eye(k), np.array([sums[f"b{i}"] for i in range(k)]))
-        self.intercept, self.scale = float(moments["y"]), 1.0
+        for r in sums:
+            n, s = r["n"], np.array([r[f"s{i}"] for i in range(k + 1)])
+            g = np.zeros((k + 1, k + 1))
+            for i, j in pairs:
+                g[i, j] = g[j, i] = r[f"g{i}_{j}"]
+            g -= np.outer(s, s) / n
+            sd = np.sqrt(np.maximum(np.diag(g)[:k], 0) / n)
+            sd = np.where(sd > 1e-12 * np.maximum(1.0, np.abs(centre)), sd, 1.0)
+            coef = np.linalg.solve(g[:k, :k] / np.outer(sd, sd) + self.alpha * np.eye(k), g[:k, k] / sd)
+            self.fits[r[by]] = RidgeFit(bounds.get(r[by], {}), s[:k] / n + centre, sd, coef, float(s[k] / n))
         if self.rescale:
-            self.scale = optimal_scale(self._raw(df, own), F.col("target"), F.col("prediction"))
+            raw = of_fold(by, {f: m.raw(self.columns, self.clip_in_fit) for f, m in self.fits.items()})
+            for f, a in optimal_scales(train, F.col("target"), raw, by).items():
+                self.fits[f].scale = a
         return self
 
-    def _raw(self, df: DataFrame, bounds: dict) -> DataFrame:
-        p = F.lit(self.intercept)
-        for i, c in enumerate(self.columns):
-            p = p + (clipped(c, bounds) - float(self.mean[i])) / float(self.sd[i]) * float(self.coef[i])
-        return df.withColumn("prediction", p * float(self.scale))
+    def predict_folds(self, val: DataFrame, by: str = "fold") -> DataFrame:
+        return val.withColumn("prediction", of_fold(by, {f: m.raw(self.columns, self.clip_in_predict) for f, m in self.fits.items()}))
 
-    def predict(self, df: DataFrame) -> DataFrame:
-        return self._raw(df, self.bounds if self.clip_in_predict else {})
-
-    def coefficients(self) -> list[tuple[str, float]]:
+    def coefficients(self, fold: int = WHOLE) -> list[tuple[str, float]]:
         """By absolute size, largest first."""
-        return sorted(((c, float(self.scale * w)) for c, w in zip(self.columns, self.coef)), key=lambda x: -abs(x[1]))
+        m = self.fits[fold]
+        return sorted(((c, float(m.scale * w)) for c, w in zip(self.columns, m.coef)), key=lambda x: -abs(x[1]))
 
 
 @dataclass
-class BoostedTrees:
-    """Gradient-boosted trees under absolute loss (MLlib: level-wise trees, features sampled per node)."""
+class BoostedTrees(Model):
+    """Gradient-boosted trees under absolute loss (MLlib: level-wise trees, features sampled per node); one fit per fold."""
 
     name: str = "gbt"
     columns: list[str] = field(default_factory=lambda: list(ROW_FEATURES))
@@ -152,25 +215,29 @@ class BoostedTrees:
     rate: float = 0.05
     min_rows: int = 200
     sample: float = 0.8
-    model: object = None
+    models: dict[int, object] = field(default_factory=dict)
 
     def _vectors(self, df: DataFrame) -> DataFrame:
         from pyspark.ml.feature import VectorAssembler
 
         return VectorAssembler(inputCols=self.columns, outputCol="_x").transform(df)
 
-    def fit(self, df: DataFrame, cfg: Config) -> BoostedTrees:
+    def fit_folds(self, train: DataFrame, cfg: Config, by: str = "fold") -> BoostedTrees:
         from pyspark.ml.regression import GBTRegressor
 
-        from panelwright.operators.seeding import label_seed
+        from panelwright.operators.seeding import spark_seed
 
-        gbt = GBTRegressor(featuresCol="_x", labelCol="target", predictionCol="prediction", lossType="absolute", maxIter=self.trees, maxDepth=self.depth, stepSize=self.rate, minInstancesPerNode=self.min_rows, subsamplingRate=self.sample, featureSubsetStrategy=str(self.sample), seed=label_seed(self.name))
-        self.model = gbt.fit(self._vectors(df.where("target is not null")))
+        rows = self._vectors(train.where("target is not null"))
+        for r in rows.select(by).distinct().collect():
+            gbt = GBTRegressor(featuresCol="_x", labelCol="target", predictionCol="prediction", lossType="absolute", maxIter=self.trees, maxDepth=self.depth, stepSize=self.rate, minInstancesPerNode=self.min_rows, subsamplingRate=self.sample, featureSubsetStrategy=str(self.sample), seed=spark_seed("trees", self.name))
+            self.models[r[by]] = gbt.fit(rows.where(F.col(by) == r[by]))
         return self
 
-    def predict(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(self._vectors(df)).drop("_x")
+    def predict_folds(self, val: DataFrame, by: str = "fold") -> DataFrame:
+        rows = self._vectors(val)
+        parts = [m.transform(rows.where(F.col(by) == f)) for f, m in self.models.items()]
+        return reduce(DataFrame.unionByName, parts).drop("_x")
 
-    def importance(self) -> list[tuple[str, float]]:
+    def importance(self, fold: int = WHOLE) -> list[tuple[str, float]]:
         """Gain shares, which sum to 1; largest first."""
-        return sorted(zip(self.columns, self.model.featureImportances.toArray().tolist()), key=lambda x: -x[1])
+        return sorted(zip(self.columns, self.models[fold].featureImportances.toArray().tolist()), key=lambda x: -x[1])

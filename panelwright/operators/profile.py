@@ -45,11 +45,27 @@ def partial_session_sizes(df: DataFrame, cfg: Config) -> DataFrame:
 
 
 def date_gaps(df: DataFrame) -> DataFrame:
-    """Whether dates are contiguous, and whether time_id is the derived one."""
+    """How many dates are missing between the first and the last."""
     d = df.agg(F.min("date_id").alias("first"), F.max("date_id").alias("last"), F.countDistinct("date_id").alias("n"))
     return d.select((F.col("last") - F.col("first") + 1 - F.col("n")).alias("missing_dates"))
 
 
+def invariants(df: DataFrame, cfg: Config) -> DataFrame:
+    """One row, one aggregate over sessions: rows off the grid, rows whose time_id is not the derived one, sessions whose time_id does not rise with the bucket, repeated keys."""
+    derived = F.col("date_id") * len(cfg.buckets) + F.floor(F.col("seconds_in_bucket") / cfg.bucket_step)
+    off = (F.col("seconds_in_bucket") % cfg.bucket_step != 0) | (F.col("seconds_in_bucket") < 0) | (F.col("seconds_in_bucket") > cfg.last_bucket)
+    pair = F.struct("seconds_in_bucket", "time_id")
+    by_bucket, by_time = F.array_sort(F.collect_list(pair)), F.array_sort(F.collect_list(F.struct("time_id", "seconds_in_bucket")))  # a session's few buckets
+    s = df.groupBy("stock_id", "date_id").agg(
+        F.count("*").alias("n"),
+        F.count_if(off).alias("off_grid"),
+        F.count_if(F.col("time_id") != derived).alias("wrong_time_id"),
+        F.countDistinct("seconds_in_bucket").alias("buckets"),
+        (F.transform(by_bucket, lambda x: x["time_id"]) != F.transform(by_time, lambda x: x["time_id"])).alias("unordered"),
+    )
+    return s.agg(F.sum("off_grid").alias("off_grid"), F.sum("wrong_time_id").alias("wrong_time_id"), F.count_if("unordered").alias("unordered_sessions"), F.sum(F.col("n") - F.col("buckets")).alias("repeated_keys"))
+
+
 def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """Long form: column, nulls; one aggregate."""
     one = df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns))

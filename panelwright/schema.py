@@ -71,4 +71,11 @@ def check_buckets(df: DataFrame, buckets: list[int]) -> None:
 
 
 def duplicate_keys(df: DataFrame) -> DataFrame:
-    return df.groupBy(*KEY).count().where("count > 1")
+    return df.groupBy(*KEY).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+
+
+def check_keys(df: DataFrame) -> None:
+    """The key is unique: lags, ranks and the revealed target mean nothing otherwise."""
+    some = duplicate_keys(df).limit(5).collect()
+    if some:
+        raise SchemaError("repeated keys, such as " + ", ".join(str(tuple(r)) for r in some))

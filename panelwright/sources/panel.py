@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelwright.config import Config
-from panelwright.operators.seeding import fork
+from panelwright.operators.seeding import stream
 from panelwright.schema import KEY, PANEL, check_buckets, check_schema, nan_to_null, widen
 
 
@@ -74,11 +74,11 @@ def time_id(cfg: Config):
     return (F.col("date_id").cast("int") * len(cfg.buckets) + F.floor(F.col("seconds_in_bucket") / cfg.bucket_step)).cast("int")
 
 
-def block_sample(df: DataFrame, stocks: int = 40, blocks: int = 8, block: int = 8, label: str = "smoke-stocks") -> DataFrame:
+def block_sample(df: DataFrame, stocks: int = 40, blocks: int = 8, block: int = 8, label: str = "stocks") -> DataFrame:
     """A seeded sample of stocks, and evenly spaced blocks of consecutive dates. Ids are few; rows are semi-joined."""
     ids = sorted(r[0] for r in df.select("stock_id").distinct().collect())
     dates = sorted(r[0] for r in df.select("date_id").distinct().collect())
-    pick = sorted(fork(label).choice(ids, size=min(stocks, len(ids)), replace=False).tolist())
+    pick = sorted(stream("sample", label).choice(ids, size=min(stocks, len(ids)), replace=False).tolist())
     last = max(0, len(dates) - block)
     starts = [round(i * last / max(1, blocks - 1)) for i in range(blocks)]
     days = sorted({d for s in starts for d in dates[s : s + block]})
@@ -93,3 +93,17 @@ def read_json(path: str) -> dict:
 
 def write_json(path: str, x: dict) -> None:
     Path(path).write_text(json.dumps(x, indent=2, sort_keys=True, default=str) + "\n")
+
+
+def write_arm(oof: DataFrame, path: str) -> None:
+    """Out-of-fold predictions of a run for another process: keyed rows, one folder for each model."""
+    oof.write.mode("overwrite").partitionBy("model").option("compression", "zstd").parquet(path)
+
+
+def read_arm(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.config import PRESETS, get_config
+from panelwright.config import PRESETS, ConfigError, configured
 from panelwright.operators import blend, cv, features, folds, integrity, metrics, mlp, models, profile, reveal, seeding
 from panelwright.schema import KEY, SchemaError, check_buckets, check_schema, nan_to_null
 from panelwright.sources import panel as source
@@ -161,7 +161,7 @@ def test_describe_matches_pandas(spark):
 
 
 def config(k, v, e, m=None):
-    return get_config("FULL", n_folds=k, val_dates_per_fold=v, embargo_dates=e, max_train_dates=m)
+    return configured("FULL", n_folds=k, val_dates_per_fold=v, embargo_dates=e, max_train_dates=m)
 
 
 @pytest.mark.parametrize("axis, cfg", [(range(100), config(5, 10, 3)), (range(0, 350, 7), config(4, 8, 3)), ([*range(8), *range(20, 40), *range(60, 90)], config(3, 8, 2))])
@@ -182,7 +182,7 @@ def test_fold_edges():
     assert folds.make_folds(range(33), config(3, 10, 2))[0].train_dates == (0,)
     assert all(len(f.train_dates) == 5 for f in folds.make_folds(range(100), config(3, 10, 2, 5)))
     with pytest.raises(ValueError):
-        get_config("FULL", n_folds=0)
+        configured("FULL", n_folds=0)
     for leaky in (folds.Fold(0, (1, 2, 3), (4, 5), ()), folds.Fold(0, (1, 2), (2, 9), (3, 4)), folds.Fold(0, (2, 1), (8, 9), (3, 4)), folds.Fold(0, (), (8,), (3, 4))):
         with pytest.raises(folds.LeakError):
             folds.check_fold(leaky, 2)
@@ -207,7 +207,7 @@ def test_ridge_is_the_closed_form(spark):
     x = rng.normal(size=(400, 3)) * [1, 5, 0.1] + [0, 100, 0]
     y = x @ [1.0, -0.3, 4.0] + rng.normal(size=400)
     df = spark.createDataFrame(pd.DataFrame(np.column_stack([x, y]), columns=["a", "b", "c", "target"]))
-    m = models.Ridge(columns=["a", "b", "c"], alpha=7.0, rescale=False, skip=[]).fit(df, get_config("FULL", fit_clip_bps=30.0))
+    m = models.Ridge(columns=["a", "b", "c"], alpha=7.0, rescale=False, skip=[]).fit(df, configured("FULL", fit_clip_bps=30.0))
     lo, hi = np.quantile(x, 0.001, axis=0), np.quantile(x, 0.999, axis=0)
     z = np.clip(x, lo, hi)
     z = (z - z.mean(axis=0)) / z.std(axis=0)
@@ -276,9 +276,61 @@ def test_published_results(spark):
     assert "—" in integrity.render_markdown(t)
 
 
-def test_seeds():
-    assert seeding.label_seed("smoke-stocks") == 6047035715707184594
-    assert seeding.fork("a").random() == seeding.fork("a").random() != seeding.fork("b").random()
+def test_streams_depend_on_their_path_alone():
+    draw = lambda *path: seeding.stream(*path).random()
+    assert draw("a") == draw("a") != draw("b") and draw("a", "x") != draw("a", "y") != draw("a", 1)
+    assert seeding.spark_seed("trees", "m") == seeding.spark_seed("trees", "m") >= 0
+
+
+def test_configurations_are_checked_whole():
+    with pytest.raises(ConfigError, match="n_folds.*embargo_dates|embargo_dates.*n_folds"):
+        configured("FULL", n_folds=0, embargo_dates=-1)
+    with pytest.raises(ConfigError, match="did you mean 'n_folds'"):
+        configured("FULL", n_fold=3)
+    with pytest.raises(ConfigError, match="no preset"):
+        configured("NONE")
+    assert configured().name == "SMOKE" == configured(panel="/no/such/panel").name and configured(panel=__file__).name == "FULL"
+    assert len(configured("FULL").buckets) == 55
+
+
+def test_made_panel_and_guards(spark):
+    from panelwright.operators.reveal import add_revealed_target, leg_summary
+    from panelwright.schema import SchemaError, check_schema, nan_to_null, widen
+    from panelwright.sources.synthetic import made_panel
+
+    cfg = configured("FULL", n_folds=2, val_dates_per_fold=3, embargo_dates=1)
+    made = made_panel(spark, cfg, 6, 12)
+    check_schema(made)
+    df = widen(nan_to_null(made)).persist()
+    assert df.count() == made.repartition(5).count() and profile.invariants(df, cfg).first().asDict() == {"off_grid": 0, "wrong_time_id": 0, "unordered_sessions": 0, "repeated_keys": 0}
+    assert df.where("wap is null").count() == 110 and df.where("seconds_in_bucket < 300 and far_price is not null").count() == 0
+    leg = leg_summary(df, cfg, (5, 7)).first()
+    assert leg.median_std < 0.05 and leg.ratio_lag_5 > 20 and leg.ratio_lag_7 > 20
+    r = cv.run_cv(df, cfg, [models.Zero(), models.ConstantMedian(), models.Carry(), models.Ridge()], features.build_row_features)
+    card = {x.model: x for x in metrics.scorecard(metrics.on_common_rows(r.oof, KEY)).collect()}
+    assert set(card) == {"zero", "constant_median", "carry_shrunk", "ridge"} and all(x.coverage == 1 for x in card.values())
+    # One fold at a time gives the same ridge as all folds at once.
+    data = cv.prepare(df, cfg, features.build_row_features)
+    f = r.folds[1]
+    one = models.Ridge().fit(data.where(F.col("date_id").isin(list(f.train_dates))), cfg)
+    assert dict(one.coefficients()) == pytest.approx(dict(r.coefficients["ridge", 1]), rel=1e-6, abs=1e-9)
+    r.release()
+    with pytest.raises(SchemaError, match="repeated keys"):
+        cv.run_cv(df.union(df.limit(1)), cfg, [models.Zero()], features.build_row_features)
+    broken = df.withColumn("reference_price", F.when(F.col("stock_id") != 3, F.col("reference_price")))
+    with pytest.raises(Exception, match="wap_minus_reference_bps is not finite|reference_minus_mid_bps is not finite"):
+        features.build_row_features(broken, cfg).agg(F.sum("wap_minus_reference_bps"), F.sum("reference_minus_mid_bps")).collect()
+    with pytest.raises(Exception, match="is not finite|DIVIDE_BY_ZERO"):
+        features.build_memory_features(add_revealed_target(df.withColumn("wap", F.when(F.col("stock_id") == 3, 0.0).otherwise(F.col("wap")))), cfg).agg(F.sum("wap_ret_1b_bps"), F.sum("wap_ret_6b_bps"), F.sum("wap_vol_6b_bps")).collect()
+    with pytest.raises(metrics.MetricError, match="m, fold 0"):
+        metrics.check_scored(spark.createDataFrame([(0, "m", 1.0, None), (0, "z", 1.0, 2.0)], "fold int, model string, target double, prediction double"))
+    df.unpersist()
+
+
+def test_arms_pass_between_processes(spark, tmp_path):
+    oof = spark.createDataFrame([(1, 2, 0, 0, "zero", 1.0, 0.0), (1, 2, 0, 0, "m", 1.0, 0.5)], "stock_id int, date_id int, seconds_in_bucket int, fold int, model string, target double, prediction double")
+    source.write_arm(oof, str(tmp_path / "arm"))
+    assert metrics.reconcile(source.read_arm(spark, str(tmp_path / "arm")), oof, oof.columns) == {"only_left": 0, "only_right": 0}
 
 
 def test_network_gradient_and_refit():
