@@ -39,16 +39,16 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm.common import LOWER_BYTES, materialize, scratch, slices, table, trim
+from panelwright.llm.common import LOWER_BYTES, materialize, scratch, shuffle_partitions, slices, table, trim
 from panelwright.llm.elias_fano import EliasFano, ef_build, load, save
 from panelwright.llm.memo import spread
 
 ADD, DISCOUNT, MIN_TRIPLES = 0.1, 0.75, 2
 FOLDS = 10
 #: Partial word counts of a level-1 part, training tokens of a shard, occurrences beyond which a context is dealt over shards.
-PART_ROWS, SHARD_TOKENS, HOT = 4_000_000, 2_000_000, 500_000
+PART_ROWS, SHARD_TOKENS, HOT = 4_000_000, 1_500_000, 500_000
 #: Bounds of what a task holds: distinct words and triples before they go on, rows and bytes of text at once, files of the trie.
-WORDS_AT_ONCE, TRIPLES_AT_ONCE, ROWS_AT_ONCE, BYTES_AT_ONCE, FILES_HELD = 500_000, 1_500_000, 4000, 6 << 20, 256
+WORDS_AT_ONCE, TRIPLES_AT_ONCE, ROWS_AT_ONCE, BYTES_AT_ONCE, FILES_HELD = 500_000, 1_000_000, 4000, 6 << 20, 256
 #: Path, words of the level-1 parts, N, shards, occurrences that make a context hot.
 Model = tuple[str, tuple[int, ...], int, int, int]
 LEVELS, STEP = 256, 10 / 255  # log10 from -10 to 0
@@ -358,7 +358,8 @@ def train(docs: DataFrame) -> Model:
         save(f"{path}/pairs-{s}", arrays)
         return pa.table({"shard": pa.array([s], pa.int64()), "pairs": pa.array([len(arrays["code"])], pa.int64())})
 
-    made = docs.mapInArrow(count_triples, "shard long, keys binary, next binary, counts binary").groupBy("shard").applyInArrow(build_pairs, "shard long, pairs long").collect()  # a row a shard
+    dealt = docs.mapInArrow(count_triples, "shard long, keys binary, next binary, counts binary").repartition(shuffle_partitions(docs.sparkSession, shards, 1), "shard")
+    made = dealt.groupBy("shard").applyInArrow(build_pairs, "shard long, pairs long").collect()  # a row a shard
     none = np.zeros(0, np.uint64)
     for s in set(range(shards)) - {r["shard"] for r in made}:
         save(f"{path}/pairs-{s}", shard_arrays(none, none.astype(np.uint32), none.astype(np.int64), lambda c: c))
