@@ -4,6 +4,13 @@ Each stage takes (spark, docs, sf_dir) and gives a DataFrame that is written and
 next stage's ``docs``. All but the last give the columns of documents: toxic documents go, of
 equal texts the one with the largest doc_id stays, of near-duplicates the one with the smallest,
 personal data is masked, and what is left is packed into sequences.
+
+Defined results: a null or empty text is kept by the first stage, is equal to all other empty ones
+for the second (one stays, null text or not), stays null through masking, and is packed as its
+closing id alone. Very long texts are read whole by every stage and cut into pieces only by packing.
+Ties (equal doc_id among equal texts or near-duplicates) are settled by the row's place in its file,
+so one row of a group stays; repeated rows are equal texts. An empty table passes through as an empty
+one. Extra columns are carried along by all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
