@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,7 +103,7 @@ def fold_bounds(df: DataFrame, columns: list[str], by: str, q: float = 0.001, sk
     """(q, 1 - q) quantiles per fold by linear interpolation; ``approximate`` bounds memory on huge tables. One aggregate."""
     use = [c for c in columns if c not in skip]
     at = F.array(F.lit(q), F.lit(1 - q))
-    of = (lambda c: F.percentile_approx(c, at, 100_000)) if approximate else (lambda c: F.percentile(c, at))
+    of = (lambda c: F.percentile_approx(c, at, 20_000)) if approximate else (lambda c: F.percentile(c, at))
     if not use:
         return {}
     rows = df.groupBy(by).agg(*(of(c).alias(c) for c in use)).collect()
@@ -125,6 +126,42 @@ def sd_inflation(df: DataFrame, columns: list[str] = ROW_FEATURES, approximate:
     return one.asDict()
 
 
+def products(rows: DataFrame, columns: list[str], by: str, bounds: dict[int, Bounds]) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """Per group: rows, means and summed products of differences from the means, of the clipped columns and ``_y``.
+
+    Over a hundred sums are more than generated code takes in one aggregate, so a batch is one
+    matrix product; a task returns one row per group, merged pairwise without loss of digits.
+    """
+    low = {f: np.array([b[c][0] if c in b else -np.inf for c in columns] + [-np.inf]) for f, b in bounds.items()}
+    high = {f: np.array([b[c][1] if c in b else np.inf for c in columns] + [np.inf]) for f, b in bounds.items()}
+
+    def merge(a, b):
+        if a is None:
+            return b
+        n, d = a[0] + b[0], b[1] - a[1]
+        return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
+
+    def run(batches):
+        held: dict[int, tuple] = {}
+        for batch in batches:
+            fold = batch.column(0).to_numpy()
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
+            for f in np.unique(fold).tolist():
+                z = x[fold == f]
+                if f in low:
+                    z = np.clip(z, low[f], high[f])
+                mean = z.mean(axis=0)
+                z = z - mean
+                held[f] = merge(held.get(f), (len(z), mean, z.T @ z))
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1].tolist() for v in held.values()], pa.list_(pa.float64())), pa.array([v[2].ravel().tolist() for v in held.values()], pa.list_(pa.float64()))], ["fold", "n", "mean", "g"])
+
+    out: dict[int, tuple] = {}
+    kinds = rows.select(F.col(by).cast("int"), *(F.col(c).cast("double") for c in [*columns, "_y"]))
+    for r in kinds.mapInArrow(run, "fold int, n long, mean array<double>, g array<double>").collect():  # a row for each task and fold
+        out[r["fold"]] = merge(out.get(r["fold"]), (r["n"], np.array(r["mean"]), np.array(r["g"]).reshape(len(r["mean"]), -1)))
+    return out
+
+
 @dataclass
 class RidgeFit:
     """One fold's parameters."""
@@ -145,7 +182,7 @@ class RidgeFit:
 
 @dataclass
 class Ridge(Model):
-    """Winsorised, standardised (population deviation) ridge: one aggregate of bounds, one of moments and products of all folds, a small solve per fold on the driver.
+    """Winsorised, standardised (population deviation) ridge: one aggregate of bounds and one pass of products for all folds, a small solve per fold on the driver.
 
     The target is clipped for the fit only; ``rescale`` multiplies predictions by their MAE-optimal factor.
     """
@@ -167,28 +204,15 @@ class Ridge(Model):
         train = train.where("target is not null")
         k = len(self.columns)
         bounds = fold_bounds(train, self.columns, by, skip=self.skip, approximate=cfg.approximate) if self.clip_in_fit or self.clip_in_predict else {}
-        # Sums are of differences from a rough centre, so that no column's level cancels its spread.
-        centre = train.agg(*(F.avg(c).alias(f"c{i}") for i, c in enumerate(self.columns))).first()
-        centre = [float(x or 0.0) for x in centre]
-        limit = lambda i, c, side: of_fold(by, {f: b[c][side] for f, b in bounds.items() if c in b})
-        bounded = {c for b in bounds.values() for c in b} if self.clip_in_fit else set()
-        x = [(clip(F.col(c), limit(i, c, 0), limit(i, c, 1)) if c in bounded else F.col(c)) - centre[i] for i, c in enumerate(self.columns)]
         y = clip(F.col("target"), -cfg.fit_clip_bps, cfg.fit_clip_bps) if cfg.fit_clip_bps is not None else F.col("target")
-        d = train.select(by, *(e.alias(f"x{i}") for i, e in enumerate(x)), y.alias(f"x{k}"))
-        pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
-        sums = d.groupBy(by).agg(F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(k + 1)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"g{i}_{j}") for i, j in pairs)).collect()
-        if not sums:
+        fits = products(train.select(by, *self.columns, y.alias("_y")), self.columns, by, bounds if self.clip_in_fit else {})
+        if not fits:
             raise ValueError("no labelled row to fit on")
-        for r in sums:
-            n, s = r["n"], np.array([r[f"s{i}"] for i in range(k + 1)])
-            g = np.zeros((k + 1, k + 1))
-            for i, j in pairs:
-                g[i, j] = g[j, i] = r[f"g{i}_{j}"]
-            g -= np.outer(s, s) / n
-            sd = np.sqrt(np.maximum(np.diag(g)[:k], 0) / n)
-            sd = np.where(sd > 1e-12 * np.maximum(1.0, np.abs(centre)), sd, 1.0)
+        for f, (n, mean, g) in fits.items():
+            sd = np.sqrt(np.diag(g)[:k] / n)
+            sd = np.where(sd > 1e-12 * np.maximum(1.0, np.abs(mean[:k])), sd, 1.0)
             coef = np.linalg.solve(g[:k, :k] / np.outer(sd, sd) + self.alpha * np.eye(k), g[:k, k] / sd)
-            self.fits[r[by]] = RidgeFit(bounds.get(r[by], {}), s[:k] / n + centre, sd, coef, float(s[k] / n))
+            self.fits[f] = RidgeFit(bounds.get(f, {}), mean[:k], sd, coef, float(mean[k]))
         if self.rescale:
             raw = of_fold(by, {f: m.raw(self.columns, self.clip_in_fit) for f, m in self.fits.items()})
             for f, a in optimal_scales(train, F.col("target"), raw, by).items():
