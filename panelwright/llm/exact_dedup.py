@@ -8,8 +8,9 @@ hit again have their full bytes compared; texts that differ under one digest are
 
 Defined results: a null text is empty; letters A-Z are folded, nothing else; among equal texts the
 largest doc_id stays (nulls lowest), of rows with the same doc_id the one with the largest locator,
-so exactly one row of a group has kept = true; an empty table gives an empty result; other columns
-are ignored, whatever their names.
+so exactly one row of a group has kept = true; very long texts are digested and compared whole; an
+empty table gives an empty result; other columns are ignored, or carried along by
+``keep_first_copies``, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import FILE, LOWER_BYTES, LOWER_SQL, ROW, discard, located, lower_az, materialize, scratch, size_checked, stable, table, without
+from panelwright.llm.common import FILE, LOWER_BYTES, LOWER_SQL, ROW, discard, located, lower_az, materialize, scratch, size_checked, slices, stable, table, without
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -39,7 +40,7 @@ def arrivals(rows: DataFrame, digest_chars: int = 64) -> DataFrame:
     """(doc_id, locator, digest): the projection of a located frame that the stream reads."""
 
     def digest(batches):
-        for b in batches:
+        for b in slices(batches):
             d = [hashlib.sha256(t).hexdigest()[:digest_chars] for t in _normal(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column(FILE), b.column(ROW), pa.array(d, pa.string())], ["doc_id", FILE, ROW, "digest"])
 

@@ -10,8 +10,11 @@ Equal fingerprints are one node. A (segment, value) with very many nodes is deal
 blocks, every pair of blocks meeting in one task. Tasks return a spanning forest of the links
 they find, never all pairs.
 
-Defined results: a null or blank text has fingerprint zero and links like any other; doc_id may be
-null or repeated (the smallest non-null one names a component); an empty table gives no rows.
+Defined results: a null or blank text has fingerprint zero and links like any other; very long texts
+are hashed whole, a bounded number of shingles at a time; doc_id may be null or repeated (the smallest
+non-null one names a component; of rows that tie, the one that comes first in its file stays);
+repeated rows are one node; an empty table gives no rows; other columns are ignored, or carried along
+by ``keep_one_of_each``, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import FILE, LOWER_BYTES, ROW, connected_components, located, materialize, merge_labels, pair_blocks, shuffle_partitions, stable, table, without
+from panelwright.llm.common import FILE, LOWER_BYTES, ROW, connected_components, located, materialize, merge_labels, pair_blocks, shuffle_partitions, slices, stable, table, without
 
 SEED, SEGMENTS, BITS, MAX_DIFF = 42, 4, 16, 3
 HASHES_AT_ONCE, PAIRS_AT_ONCE, BLOCK = 100_000, 1_000_000, 20_000
@@ -52,7 +55,7 @@ def fingerprints(rows: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, locator, fp (the 64 bits as a signed long) of a located frame."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([fingerprint(t, width) for t in b.column("text").cast(pa.binary()).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column(FILE), b.column(ROW), pa.array(fp.view(np.int64))], ["doc_id", FILE, ROW, "fp"])
 
