@@ -93,6 +93,23 @@ def test_locators_are_unique_whatever_the_frame(spark, sample):
         assert got.select(common.FILE, common.ROW).distinct().count() == got.count() == df.count()
 
 
+def test_slices_bound_rows_and_bytes():
+    texts = ["x" * n for n in (5, 5, 5, 100, 1, 1, 0, 0, 1)] + [None]
+    b = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(texts)], ["doc_id", "text"])
+    parts = list(common.slices([b, b.slice(0, 0)], rows=4, size=12))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts
+    assert all(p.num_rows == 1 or p.num_rows <= 4 and sum(len(t or "") for t in p.column("text").to_pylist()) <= 12 for p in parts)
+
+
+def test_no_folder_of_our_own_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    fake = lambda master: N(sparkContext=N(getConf=lambda: N(get=lambda k, d: d), getCheckpointDir=lambda: None, master=master, applicationId="a"))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_root(fake(master))
+
+
 # ---------------------------------------------------------------- 1 cover tree
 
 
