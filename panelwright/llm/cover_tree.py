@@ -235,7 +235,7 @@ def joined(nodes: DataFrame, dim: int, n: int, least: float, unit: int) -> DataF
     spark = nodes.sparkSession
     want = min(n, MOST_SAMPLE, max(LEAST_SAMPLE, PER_UNIT * n // unit))
     sample = nodes.select("embedding").orderBy(F.xxhash64("node")).limit(want).toArrow()  # bounded
-    top = CoverTree(unit_rows(sample.column("embedding"), dim), max(1, len(sample) * unit // (2 * n)) if n > unit else len(sample))
+    top = CoverTree(unit_rows(sample.column("embedding"), dim), max(1, len(sample) * unit // n) if n > unit else len(sample))
     top.points = top.single = np.zeros((0, dim))  # only the centres go to the tasks
     t, kind = float(np.sqrt(2 - 2 * least)), nodes.schema["embedding"].dataType.simpleString()
 
