@@ -1,17 +1,22 @@
 """A multi-layer perceptron with a stock embedding under absolute loss, trained on the executors.
 
-MLlib has no such regressor. Folds are trained side by side, one task each (``applyInPandas``),
-so a task holds one fold's design matrix; ``max_rows`` refuses a fold that would not fit rather
-than sampling it. Prediction is a vectorised UDF over partitions of any size.
+MLlib has no such regressor. Training is data-parallel, all folds at once: rows are dealt to
+partitions once and cached; an epoch is one job in which every partition takes Adam steps over its
+own rows from the folds' current parameters, and the driver averages what comes back, weighted by
+rows (a net's parameters per partition and fold, whatever the number of rows). The same job measures
+the parameters it starts from on the held-out dates, which decides when a fold stops. On a single
+partition this is ordinary mini-batch Adam. Prediction is a vectorised UDF over partitions of any size.
 """
 
 from __future__ import annotations
 
+import copy
 import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,36 +72,64 @@ class Net:
         return g
 
 
-def train_net(x, stock, y, dates, *, label: str, stocks: int, embed=8, hidden=(256, 128, 64), dropout=0.1, rate=1e-3, decay=1e-5, batch=4096, epochs=20, patience=3, holdout=0.1, embargo=2) -> tuple[Net, list[float], int]:
-    """Adam on the training dates, early stopping on the held-out last ones; the best checkpoint is kept."""
-    rng = stream(label, "init")
-    order, drop = stream(label, "batches"), stream(label, "dropout")
-    left, held = inner_split(sorted(set(dates.tolist())), holdout, embargo)
-    tr, va = np.isin(dates, left), np.isin(dates, held)
-    sd = x[tr].std(axis=0)
-    net = Net.new(rng, x.shape[1], stocks, embed, hidden, x[tr].mean(axis=0), np.where(sd > 0, sd, 1.0))
-    m, v = ({k: np.zeros_like(a) for k, a in net.p.items()} for _ in range(2))
-    xt, st, yt = x[tr], stock[tr], y[tr]
-    best, best_at, kept, history, step = np.inf, 0, None, [], 0
-    for epoch in range(epochs):
-        perm = order.permutation(len(yt))
+@dataclass
+class Training:
+    """A net under way with Adam's moments; what travels between driver and tasks."""
+
+    net: Net
+    m: dict[str, np.ndarray] = field(default_factory=dict)
+    v: dict[str, np.ndarray] = field(default_factory=dict)
+    step: int = 0
+
+    def __post_init__(self) -> None:
+        for moments in (self.m, self.v):
+            for k, x in self.net.p.items():
+                moments.setdefault(k, np.zeros_like(x))
+
+    def epoch(self, x, stock, y, order: np.random.Generator, drop: np.random.Generator, rate: float, decay: float, batch: int, dropout: float) -> Training:
+        perm = order.permutation(len(y))
+        p = self.net.p
         for a in range(0, len(perm), batch):
             i = perm[a : a + batch]
-            g = net.gradient(xt[i], st[i], yt[i], drop, dropout)
-            step += 1
-            for k in net.p:
-                gk = g[k] + decay * net.p[k]
-                m[k] = 0.9 * m[k] + 0.1 * gk
-                v[k] = 0.999 * v[k] + 0.001 * gk * gk
-                net.p[k] = net.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-        loss = float(np.abs(net.forward(x[va], stock[va])[0] - y[va]).mean())
-        history.append(loss)
-        if loss < best:
-            best, best_at, kept = loss, epoch, {k: a.copy() for k, a in net.p.items()}
-        elif epoch - best_at >= patience:
-            break
-    net.p = kept
-    return net, history, best_at
+            g = self.net.gradient(x[i], stock[i], y[i], drop, dropout)
+            self.step += 1
+            for k in p:
+                gk = g[k] + decay * p[k]
+                self.m[k] = 0.9 * self.m[k] + 0.1 * gk
+                self.v[k] = 0.999 * self.v[k] + 0.001 * gk * gk
+                p[k] = p[k] - rate * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.v[k] / (1 - 0.999**self.step)) + 1e-8)
+        return self
+
+    @staticmethod
+    def average(parts: list[tuple[int, Training]]) -> Training:
+        """Weighted by rows; the longest run of steps corrects the moments' bias."""
+        total = sum(n for n, _ in parts)
+        mean = lambda pick: {k: sum(n * pick(t)[k] for n, t in parts) / total for k in parts[0][1].net.p}
+        first = parts[0][1].net
+        return Training(Net(mean(lambda t: t.net.p), first.mean, first.sd, first.layers), mean(lambda t: t.m), mean(lambda t: t.v), max(t.step for _, t in parts))
+
+
+@dataclass
+class Progress:
+    """Early stopping of one fold."""
+
+    state: Training
+    history: list[float] = field(default_factory=list)
+    best: float = np.inf
+    best_at: int = 0
+    kept: dict[str, np.ndarray] | None = None
+    done: bool = False
+
+    def measured(self, loss: float, patience: int) -> None:
+        """``loss`` of the current parameters, after one more epoch."""
+        self.history.append(loss)
+        if loss < self.best:
+            self.best, self.best_at, self.kept = loss, len(self.history) - 1, {k: x.copy() for k, x in self.state.net.p.items()}
+        self.done = len(self.history) - 1 - self.best_at >= patience
+
+
+#: The shape and the schedule.
+DEFAULTS = {"embed": 8, "hidden": (256, 128, 64), "dropout": 0.1, "rate": 1e-3, "decay": 1e-5, "batch": 4096, "epochs": 20, "patience": 3, "holdout": 0.1, "embargo": 2}
 
 
 @dataclass
@@ -104,30 +137,74 @@ class Mlp:
     name: str = "mlp_mem"
     columns: list[str] = field(default_factory=lambda: list(ALL_FEATURES))
     stocks: int = 200
-    max_rows: int = 8_000_000
+    #: Rows that a task holds as a matrix, about.
+    rows_per_task: int = 1_000_000
     options: dict = field(default_factory=dict)
     nets: dict[int, Net] = field(default_factory=dict)
     summary: dict[int, dict] = field(default_factory=dict)
 
-    def fit_folds(self, df: DataFrame, cfg: Config) -> Mlp:
-        """One net per fold from training rows with a ``fold`` column."""
-        most = df.groupBy("fold").count().agg(F.max("count")).first()[0] or 0
-        if most > self.max_rows:
-            raise ValueError(f"a fold has {most} training rows; max_rows is {self.max_rows}")
-        columns, stocks, options, name = self.columns, self.stocks, {"embargo": cfg.embargo_dates} | self.options, self.name
-
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["date_id", "seconds_in_bucket", "stock_id"])
-            stock = np.clip(pdf["stock_id"].to_numpy(), 0, stocks)
-            net, history, best = train_net(pdf[columns].to_numpy(float), stock, pdf["target"].to_numpy(float), pdf["date_id"].to_numpy(), label=name, stocks=stocks, **options)
-            return pd.DataFrame({"fold": [int(pdf["fold"].iloc[0])], "net": [pickle.dumps(net)], "best": [best], "history": [history]})
-
-        rows = df.where("target is not null").select("fold", "stock_id", "date_id", "seconds_in_bucket", "target", *columns)
-        for r in rows.groupBy("fold").applyInPandas(one, "fold int, net binary, best int, history array<double>").collect():
-            self.nets[r["fold"]] = pickle.loads(r["net"])
-            self.summary[r["fold"]] = {"epochs": len(r["history"]), "best_epoch": r["best"], "history": r["history"]}
+    def fit_folds(self, df: DataFrame, cfg: Config, by: str = "fold") -> Mlp:
+        """One net per fold from training rows with a column ``by``."""
+        o = DEFAULTS | {"embargo": cfg.embargo_dates} | self.options
+        columns, stocks, label = self.columns, self.stocks, self.name
+        rows = df.where("target is not null").select(F.col(by).cast("int").alias("fold"), F.col("stock_id").cast("int"), F.col("date_id").cast("int"), F.col("target").cast("double"), *(F.col(c).cast("double") for c in columns))
+        axes: dict[int, list[int]] = {}
+        for r in rows.select("fold", "date_id").distinct().collect():  # dates x folds
+            axes.setdefault(r["fold"], []).append(r["date_id"])
+        split = [(f, d, side) for f, dates in axes.items() for side, part in zip((False, True), inner_split(dates, o["holdout"], o["embargo"])) for d in part]
+        roles = F.broadcast(df.sparkSession.createDataFrame(split, "fold int, date_id int, held boolean"))
+        rows = rows.join(roles, ["fold", "date_id"]).drop("date_id")
+        size = rows.count()
+        tasks = -(-size // self.rows_per_task)
+        rows = rows.repartition(tasks, F.xxhash64(*rows.columns)).sortWithinPartitions("fold", *rows.columns[1:]).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            sides = rows.where("not held").groupBy("fold").agg(*(f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop)))).collect()
+            under_way: dict[int, Progress] = {}
+            for r in sides:
+                mean, sd = (np.array([r[f"{n}{i}"] for i in range(len(columns))]) for n in "ms")
+                net = Net.new(stream(label, "init"), len(columns), stocks, o["embed"], o["hidden"], mean, np.where(sd > 0, sd, 1.0))
+                under_way[r["fold"]] = Progress(Training(net))
+            for epoch in range(o["epochs"] + 1):
+                live = {f: p.state for f, p in under_way.items() if not p.done}
+                if not live:
+                    break
+                parts = self._job(rows, live, epoch, o)
+                for f in live:
+                    mine = [r for r in parts if r["fold"] == f]
+                    if epoch:
+                        under_way[f].measured(sum(r["error"] for r in mine) / max(1, sum(r["held"] for r in mine)), o["patience"])
+                    if not under_way[f].done and epoch < o["epochs"]:
+                        under_way[f].state = Training.average([(r["n"], pickle.loads(r["state"])) for r in mine if r["n"]])
+        finally:
+            rows.unpersist()
+        for f, p in under_way.items():
+            p.state.net.p = p.kept if p.kept is not None else p.state.net.p
+            self.nets[f], self.summary[f] = p.state.net, {"epochs": len(p.history), "best_epoch": p.best_at, "history": p.history}
         return self
 
+    def _job(self, rows: DataFrame, live: dict[int, Training], epoch: int, o: dict) -> list:
+        """Held-out error of the current parameters, and each partition's training from them (none in the last round)."""
+        shared = rows.sparkSession.sparkContext.broadcast(live)
+        columns, stocks, label = self.columns, self.stocks, self.name
+
+        def run(batches):
+            got = list(batches)  # a partition's rows: ``rows_per_task`` of them, about
+            for f, part in pd.concat(got).groupby("fold") if got else ():
+                if f not in shared.value:
+                    continue
+                state, held = copy.deepcopy(shared.value[f]), part["held"].to_numpy(bool)
+                x, y = part[columns].to_numpy(float), part["target"].to_numpy(float)
+                stock = np.clip(part["stock_id"].to_numpy(int), 0, stocks)
+                error = float(np.abs(state.net.forward(x[held], stock[held])[0] - y[held]).sum()) if held.any() else 0.0
+                fit, at = ~held, TaskContext.get().partitionId()
+                if epoch < o["epochs"] and fit.any():
+                    state.epoch(x[fit], stock[fit], y[fit], stream(label, "batches", int(f), epoch, at), stream(label, "dropout", int(f), epoch, at), o["rate"], o["decay"], o["batch"], o["dropout"])
+                yield pd.DataFrame({"fold": [int(f)], "n": [int(fit.sum())], "held": [int(held.sum())], "error": [error], "state": [pickle.dumps(state) if epoch < o["epochs"] else b""]})
+
+        out = rows.mapInPandas(run, "fold int, n long, held long, error double, state binary").collect()  # a net per partition and fold
+        shared.destroy()
+        return out
+
     def fit(self, df: DataFrame, cfg: Config) -> Mlp:
         return self.fit_folds(df.withColumn("fold", F.lit(0)), cfg)
 

@@ -333,7 +333,7 @@ def test_arms_pass_between_processes(spark, tmp_path):
     assert metrics.reconcile(source.read_arm(spark, str(tmp_path / "arm")), oof, oof.columns) == {"only_left": 0, "only_right": 0}
 
 
-def test_network_gradient_and_refit():
+def test_network_gradient():
     rng = np.random.default_rng(5)
     net = mlp.Net.new(rng, 3, 4, 2, (5, 4), np.zeros(3), np.ones(3))
     x, s, y = rng.normal(size=(9, 3)), rng.integers(0, 4, 9), rng.normal(size=9)
@@ -347,11 +347,25 @@ def test_network_gradient_and_refit():
         net.p[k][i] = keep - 1e-6
         assert (up - loss()) / 2e-6 == pytest.approx(g[k][i], abs=1e-5)
         net.p[k][i] = keep
-    dates = np.repeat(np.arange(30), 20)
-    x, s = rng.normal(size=(600, 3)), rng.integers(0, 4, 600)
-    fit = lambda: mlp.train_net(x, s, x[:, 0] * 2, dates, label="t", stocks=4, hidden=(16,), batch=64, epochs=8, rate=1e-2)
-    a, b = fit(), fit()
-    assert a[1] == b[1] and a[1][-1] < a[1][0]
+
+
+def test_nets_learn_on_one_partition_and_on_many(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1200, 3))
+    df = spark.createDataFrame([(k % 2, int(k % 4), k // 40, float(2 * v[0] - v[1]), *map(float, v)) for k, v in enumerate(x)], "fold int, stock_id int, date_id int, target double, a double, b double, c double")
+    cfg = configured("SMOKE")
+
+    def fit(rows_per_task):
+        return mlp.Mlp("t", ["a", "b", "c"], 4, rows_per_task, {"hidden": (16,), "batch": 32, "epochs": 12, "rate": 3e-2, "dropout": 0.0}).fit_folds(df, cfg)
+
+    one, again, many = fit(10_000), fit(10_000), fit(200)
+    assert set(one.nets) == {0, 1} and one.summary == again.summary
+    for m in (one, many):
+        for f in (0, 1):
+            h = m.summary[f]["history"]
+            assert min(h) < h[0] and h[m.summary[f]["best_epoch"]] == min(h) and m.summary[f]["epochs"] == len(h) <= 12
+        got = m.predict(df.where("fold = 1"), 1).agg(F.avg(F.abs(F.col("target") - F.col("prediction")))).first()[0]
+        assert got < 0.6 * float(np.abs(2 * x[:, 0] - x[:, 1]).mean())
 
 
 def test_sources(spark, sf_dir, tmp_path, small):
