@@ -46,9 +46,9 @@ from panelwright.llm.memo import spread
 ADD, DISCOUNT, MIN_TRIPLES = 0.1, 0.75, 2
 FOLDS = 10
 #: Partial word counts of a level-1 part, training tokens of a shard, occurrences beyond which a context is dealt over shards.
-PART_ROWS, SHARD_TOKENS, HOT = 4_000_000, 1_500_000, 500_000
+PART_ROWS, SHARD_TOKENS, HOT = 4_000_000, 1_000_000, 500_000
 #: Bounds of what a task holds: distinct words and triples before they go on, rows and bytes of text at once, files of the trie.
-WORDS_AT_ONCE, TRIPLES_AT_ONCE, ROWS_AT_ONCE, BYTES_AT_ONCE, FILES_HELD = 500_000, 1_000_000, 4000, 6 << 20, 256
+WORDS_AT_ONCE, TRIPLES_AT_ONCE, ROWS_AT_ONCE, BYTES_AT_ONCE, FILES_HELD = 500_000, 800_000, 4000, 4 << 20, 256
 #: Path, words of the level-1 parts, N, shards, occurrences that make a context hot.
 Model = tuple[str, tuple[int, ...], int, int, int]
 LEVELS, STEP = 256, 10 / 255  # log10 from -10 to 0
