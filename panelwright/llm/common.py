@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 #: Rows and bytes that a Python worker handles at once: Spark bounds its batches by bytes too, but more loosely.
-BATCH_ROWS, BATCH_BYTES = 4000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 6 << 20
 
 #: Byte table that lower-cases A-Z only.
 LOWER_BYTES = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())

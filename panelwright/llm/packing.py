@@ -48,7 +48,7 @@ MAX_LEN = 2048
 #: Ranks of a block, by which pieces look up their placement.
 BLOCK = 4096
 #: Segments that a worker remembers; a bound on memory, not on results.
-SEGMENTS = 1_000_000
+SEGMENTS = 400_000
 CLOSING = 0
 END = b"\0"  # stands for the end-of-word suffix
 
