@@ -29,24 +29,28 @@ def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
 def take_bits(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     if not width:
         return np.zeros(len(at), np.uint64)
-    bit = at.astype(np.uint64) * np.uint64(width)
-    word, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
-    high = np.where(shift > 0, words[word + 1] << ((U64 - shift) & np.uint64(63)), np.uint64(0))
+    bit = at.astype(np.int64) * width
+    word, shift = bit >> 6, (bit & 63).view(np.uint64)
+    high = words[word + 1] << U1 << (shift ^ np.uint64(63))  # by 64 - shift in two steps, as a shift by 64 is not defined
     return (words[word] >> shift | high) & np.uint64((1 << width) - 1)
 
 
+#: Every byte 1, its top bit; place of the r-th set bit of a byte b at r << 8 | b; bits above each bit of a word.
+EACH, TOP = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+HALVES = [np.uint64(x) for x in (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F)]
+IN_BYTE = np.array([([k for k in range(8) if b >> k & 1] + [0] * 8)[r] for r in range(8) for b in range(256)], np.uint8)
+ABOVE = np.array([(1 << 64) - (2 << k) for k in range(64)], np.uint64)
+
+
 def nth_one(x: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Position of the r-th set bit of every word."""
-    pos = np.zeros(len(x), np.int64)
-    r = r.copy()
-    for width in (32, 16, 8, 4, 2, 1):
-        n = np.bitwise_count(x & np.uint64((1 << width) - 1)).astype(np.int64)
-        up = r >= n
-        r -= n * up
-        step = up * width
-        pos += step
-        x = x >> step.astype(np.uint64)
-    return pos
+    """Position of the r-th set bit of every word: its byte from the bytes' running sums, then a table."""
+    r = r.astype(np.uint64)
+    ones = x - (x >> U1 & HALVES[0])
+    ones = (ones & HALVES[1]) + (ones >> np.uint64(2) & HALVES[1])
+    ones = (ones + (ones >> np.uint64(4)) & HALVES[2]) * EACH
+    at = np.bitwise_count((r * EACH | TOP) - ones & TOP).astype(np.uint64) << np.uint64(3)
+    r -= ones << np.uint64(8) >> at & np.uint64(255)
+    return at.view(np.int64) + IN_BYTE[(r << np.uint64(8) | x >> at & np.uint64(255)).view(np.int64)]
 
 
 def ef_build(values: np.ndarray, prefix: str) -> dict[str, np.ndarray]:
@@ -78,29 +82,46 @@ class EliasFano:
         high = (self._select(self.ones, i, False) - i).astype(np.uint64)
         return high << np.uint64(self.width) | take_bits(self.low, i, self.width)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Position of the first value >= x, by a jump to x's high part and a search over the low parts."""
+    def _bounds(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the values of a high part begin and end: at the zeros before and after them."""
+        before = self._select(self.zeros, np.maximum(h - 1, 0), True)
+        rest = ~self.upper[before >> 6] & ABOVE[before & 63]
+        after = (before & ~63) + np.bitwise_count((rest & (~rest + U1)) - U1)
+        far = np.flatnonzero((rest == 0) | (h == 0))
+        if far.size:
+            after[far] = self._select(self.zeros, h[far], True)
+        return np.where(h > 0, before - h + 1, 0), after - h
+
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Position of the first value >= x, by a jump to x's high part and a search over the low parts, and whether it is x."""
         x = x.astype(np.uint64)
         high = x >> np.uint64(self.width)
         inside = high <= self.top
-        h = np.where(inside, high, 0).astype(np.int64)
-        lo = np.where(h > 0, self._select(self.zeros, np.maximum(h - 1, 0), True) - (h - 1), 0)
-        hi = self._select(self.zeros, h, True) - h
-        want = x & np.uint64((1 << self.width) - 1)
-        while (live := np.flatnonzero(lo < hi)).size:
-            mid = (lo[live] + hi[live]) >> 1
+        lo, hi = self._bounds(np.where(inside, high, 0).astype(np.int64))
+        want, end = x & np.uint64((1 << self.width) - 1), hi.copy()
+        live = np.flatnonzero(lo < hi)
+        while live.size:
+            l, h = lo[live], hi[live]
+            mid = (l + h) >> 1
             less = take_bits(self.low, mid, self.width) < want[live]
-            lo[live] = np.where(less, mid + 1, lo[live])
-            hi[live] = np.where(less, hi[live], mid)
-        return np.where(inside, lo, self.n)
+            lo[live] = l = np.where(less, mid + 1, l)
+            hi[live] = h = np.where(less, h, mid)
+            live = live[l < h]
+        equal = np.flatnonzero(inside & (lo < end))  # the high part is x's
+        is_x = np.zeros(len(x), bool)
+        is_x[equal] = take_bits(self.low, lo[equal], self.width) == want[equal]
+        return np.where(inside, lo, self.n), is_x
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """Position of the first value >= x."""
+        return self._search(x)[0]
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Position of x, -1 where it is absent."""
         if not self.n:
             return np.full(len(x), -1, np.int64)
-        at = self.successor(x)
-        safe = np.minimum(at, self.n - 1)
-        return np.where((at < self.n) & (self.get(safe) == x.astype(np.uint64)), at, -1)
+        at, is_x = self._search(x)
+        return np.where(is_x, at, -1)
 
 
 def resolve(path: str) -> tuple[fs.FileSystem, str]:
@@ -133,7 +154,7 @@ def load(path: str) -> dict[str, np.ndarray]:
     """The arrays of a file: mapped where the path is mounted, else read whole."""
     store, path = resolve(path)
     if isinstance(store, fs.LocalFileSystem):
-        raw = np.memmap(path, np.uint8, "r")
+        raw = np.asarray(np.memmap(path, np.uint8, "r"))  # a plain array over the map: slices of a memmap cost more than look-ups
     else:
         with store.open_input_file(path) as f:
             raw = np.frombuffer(f.read_buffer(), np.uint8)

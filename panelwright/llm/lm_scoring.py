@@ -3,10 +3,11 @@
 All training documents are counted: words first, then triples. Level 1 holds the words (hashes as a
 monotone sequence, counts as differences of another) in parts by hash range. Levels 2 and 3 are
 dealt into shards by context; a context that is very frequent is dealt over several shards by its
-successor. A shard holds its contexts, monotone pointers to their successors, the successors made
-monotone by their context's rank, and discounted probabilities quantised to 8 bits; a pair that is
-itself the context of kept triples has pointers into the shard's third level, whose successors are
-made monotone by the pair's place. Every look-up is a successor search relative to its context.
+successor. A shard holds its contexts, their successors made monotone by their context's rank above
+the word's bits, so that the selected high part is the pointer to a context's range, and discounted
+probabilities quantised to 8 bits; a pair that is itself the context of kept triples has its place
+in the shard's third level, whose successors are made monotone by that place. Every look-up is a
+successor search relative to its context; a batch finds each of its contexts once.
 Levels are files in the shared folder, memory-mapped by the tasks where it is mounted, else read
 shard by shard (a bounded number is held), so a task's memory is bounded by its batch.
 
@@ -107,8 +108,17 @@ def runs(*sorted_keys: np.ndarray) -> np.ndarray:
 
 def groups(of: np.ndarray):
     """Positions of each value, values ascending."""
-    order = np.argsort(of, kind="stable")
-    return np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else ()
+    if not len(of):
+        return ()
+    order = np.argsort(of.astype(np.uint16) if of.max() < 1 << 16 else of, kind="stable")  # short numbers are sorted by their digits
+    return np.split(order, np.flatnonzero(np.diff(of[order])) + 1)
+
+
+def by_pair(key: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Order by key, then x (below 2**32): two plain sorts, which vectorise, in place of a stable one."""
+    order = np.argsort(key)
+    nth = np.cumsum(np.append(False, np.diff(key[order]) > 0)[: len(key)])
+    return order[np.argsort(nth.astype(np.uint64) << np.uint64(32) | x[order].astype(np.uint64))]
 
 
 def code_of(p: np.ndarray) -> np.ndarray:
@@ -117,7 +127,10 @@ def code_of(p: np.ndarray) -> np.ndarray:
 
 
 def of_code(code: np.ndarray) -> np.ndarray:
-    return np.where(code > 0, 10.0 ** ((code.astype(float) - (LEVELS - 1)) * STEP), 0.0)
+    return OF_CODE[code]
+
+
+OF_CODE = np.where(np.arange(LEVELS) > 0, 10.0 ** ((np.arange(LEVELS) - (LEVELS - 1.0)) * STEP), 0.0)
 
 
 class Trie:
@@ -125,6 +138,7 @@ class Trie:
 
     def __init__(self, path: str, parts: tuple[int, ...], n: int, shards: int, hot: int):
         self.path, self.offset, self.n, self.v, self.shards, self.hot = path, np.append(0, np.cumsum(parts)).astype(np.int64), n, sum(parts), shards, hot
+        self.bits = np.uint64(self.v.bit_length())
         self.levels: OrderedDict[str, dict] = OrderedDict()
 
     def level(self, name: str) -> dict:
@@ -141,7 +155,8 @@ class Trie:
         """Id (-1: unknown) and count of every hash."""
         ids, count = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
         parts = len(self.offset) - 1
-        for at in groups(part_of(h, parts)) if self.v else ():
+        order = np.argsort(h)  # parts are ranges, and sorted look-ups are near each other
+        for at in np.split(order, np.flatnonzero(np.diff(part_of(h[order], parts))) + 1) if self.v and len(h) else ():
             p = int(part_of(h[at[:1]], parts)[0])
             if self.offset[p + 1] == self.offset[p]:
                 continue
@@ -161,29 +176,39 @@ class Trie:
             out[at] = (ef.get(ids[at] - self.offset[p] + 1) - ef.get(ids[at] - self.offset[p])).astype(np.int64)
         return out
 
-    def pairs(self, c: np.ndarray, w: np.ndarray, n_c: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of every pair (sorted by c): q, b as a context of level 3 (1 where it has none), shard, place among the contexts of level 3 there (-1: none)."""
-        q, b, place = np.zeros(len(c)), np.ones(len(c)), np.full(len(c), -1, np.int64)
-        of = shard_of(c, w, n_c, self.shards, self.hot)
+    def contexts(self, c: np.ndarray, n_c: np.ndarray) -> tuple[np.ndarray, ...]:
+        """b of every single-word context: what the kept mass, summed over its shards, leaves. Where contexts stand: number * shards + shard, ascending, and the rank there (-1: none)."""
+        per = np.maximum(1, -(-n_c // self.hot))
+        which = np.repeat(np.arange(len(c)), per)
+        stands = which * self.shards + nth_shard(c[which], spread(np.zeros(len(c), np.int64), per), self.shards)
+        if len(stands) > len(c):
+            stands = np.sort(stands)
+            stands = stands[runs(stands)]  # a shard that serves one context twice counts once
+        which, of = np.divmod(stands, self.shards)
+        b, rank = np.ones(len(c)), np.full(len(stands), -1, np.int64)
         for at in groups(of):
             lv = self.level(f"pairs-{of[at[0]]}")
-            first = runs(c[at])  # a context is looked up once
-            r = lv["context"].find(c[at[first]])
-            known = np.maximum(r, 0)
-            per = np.diff(np.append(first, len(at)))
-            hi = np.where(r >= 0, lv["pointer"].get(known + 1).astype(np.int64), -1)
-            r, hi = np.repeat(r, per), np.repeat(hi, per)
-            at, r, hi = at[r >= 0], r[r >= 0], hi[r >= 0]
-            x = r.astype(np.uint64) << np.uint64(32) | w[at].astype(np.uint64)
-            i = lv["successor"].successor(x)
-            ok = i < hi
-            at, i, x = at[ok], i[ok], x[ok]
-            ok = lv["successor"].get(i) == x
-            at, i = at[ok], i[ok]
+            rank[at] = r = lv["context"].find(c[which[at]])
+            b[which[at[r >= 0]]] -= lv["mass"][r[r >= 0]]
+        return np.maximum(b, DISCOUNT / np.maximum(n_c, 1)), stands, rank  # a single successor leaves as much
+
+    def pairs(self, k: np.ndarray, w: np.ndarray, c: np.ndarray, n_c: np.ndarray, stands: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of every pair of the k-th of the contexts and w: q, b as a context of level 3 (1 where it has none), shard, place among the contexts of level 3 there (-1: none)."""
+        q, b, place = np.zeros(len(k)), np.ones(len(k)), np.full(len(k), -1, np.int64)
+        of = shard_of(c[k], w, n_c[k], self.shards, self.hot)
+        r = rank[k if len(stands) == len(c) else np.searchsorted(stands, k * self.shards + of)]
+        x = r.astype(np.uint64) << self.bits | w.astype(np.uint64)
+        there = np.flatnonzero(r >= 0)
+        for at in groups(of[there]):
+            at = there[at]
+            lv = self.level(f"pairs-{of[at[0]]}")
+            i = lv["successor"].find(x[at])
+            at, i = at[i >= 0], i[i >= 0]
             q[at] = of_code(lv["code"][i])
-            k = lv["parent"].find(i.astype(np.uint64))
-            place[at] = k
-            b[at[k >= 0]] = lv["left"][k[k >= 0]] / WEIGHTS
+            i = lv["parent"].find(i)
+            at, i = at[i >= 0], i[i >= 0]
+            place[at] = i
+            b[at] = lv["left"][i] / WEIGHTS
         return q, b, of, place
 
     def triples(self, shard: np.ndarray, place: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -191,26 +216,11 @@ class Trie:
         q = np.zeros(len(w))
         for at in groups(shard):
             lv = self.level(f"pairs-{shard[at[0]]}")
-            x = place[at].astype(np.uint64) << np.uint64(32) | w[at].astype(np.uint64)
+            x = place[at].astype(np.uint64) << self.bits | w[at].astype(np.uint64)
             i = lv["third"].find(x)
             q[at[i >= 0]] = of_code(lv["third_code"][i[i >= 0]])
         return q
 
-    def back(self, c: np.ndarray, n_c: np.ndarray) -> np.ndarray:
-        """b of every single-word context: what the kept mass, summed over its shards, leaves."""
-        out = np.ones(len(c))
-        per = np.maximum(1, -(-n_c // self.hot))
-        which = np.repeat(np.arange(len(c)), per)
-        of = nth_shard(c[which], spread(np.zeros(len(c), np.int64), per), self.shards)
-        pair = np.unique(which * self.shards + of)  # a shard that serves one context twice counts once
-        which, of = pair // self.shards, pair % self.shards
-        for at in groups(of):
-            lv = self.level(f"pairs-{of[at[0]]}")
-            r = lv["context"].find(c[which[at]])
-            at, r = at[r >= 0], r[r >= 0]
-            np.subtract.at(out, which[at], lv["mass"][r].astype(float))
-        return np.maximum(out, DISCOUNT / np.maximum(n_c, 1))  # a single successor leaves as much
-
 
 @lru_cache(maxsize=2)
 def trie(path: str, parts: tuple[int, ...], n: int, shards: int, hot: int) -> Trie:
@@ -227,9 +237,14 @@ def tokens_of(text: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at either end leaves an empty piece
     ends = np.append(0, np.cumsum(real))[np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]
     words = (flat if real.all() else flat.filter(pa.array(real))).dictionary_encode()
-    distinct = words.dictionary.cast(pa.binary()).to_pylist()
-    ids = np.insert(words.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, len(distinct))
-    return ids, [*distinct, END], np.diff(ends, prepend=0) + 1
+    known = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()  # to_pylist makes a scalar of each
+    ids = np.insert(words.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, len(known))
+    return ids, [*known, END], np.diff(ends, prepend=0) + 1
+
+
+def release() -> None:
+    """Hand what Arrow has freed back to the system: a worker shares an executor's memory, and Arrow's pool keeps the most it ever held."""
+    pa.default_memory_pool().release_unused()
 
 
 def training(batches):
@@ -238,6 +253,7 @@ def training(batches):
         keep = np.fromiter((fold(d) != 0 for d in b.column("doc_id").to_pylist()), bool, b.num_rows)
         if keep.any():
             yield b.column("text").filter(pa.array(keep))
+            release()
 
 
 def count_words(batches):
@@ -265,26 +281,50 @@ def count_words(batches):
     trim()
 
 
-def triple_rows(t: Trie, ids: list[np.ndarray], follows: list[np.ndarray], before: list[np.ndarray]):
-    """Distinct (context, word, next) with their numbers, dealt to shards, as columns of byte planes."""
-    c, w, x = (np.concatenate(z) for z in (before, ids, follows))
-    key = c.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64)
-    order = np.lexsort((x, key))
-    key, x = key[order], x[order]
-    first = runs(key, x)
-    size = np.diff(np.append(first, len(key))).astype(np.uint32)
-    key, x = key[first], x[first].astype(np.uint32)
-    c, w = (key >> np.uint64(32)).astype(np.int64), key & LOW32
-    new = runs(c)
-    n_c = np.repeat(t.counts(c[new]), np.diff(np.append(new, len(c))))
+def distinct(pieces, bits: int) -> tuple[np.ndarray, ...]:
+    """Distinct triples of numbers of so many bits, ascending, and how often each is there."""
+    b, low = np.uint64(bits), np.uint64((1 << bits) - 1)
+    if 3 * bits <= 64:
+        key = np.concatenate([(c << b | w) << b | x for c, w, x in pieces])
+        key.sort()
+        first = runs(key)
+        n = len(key)
+        key = key[first]
+        c, w, x = key >> b >> b, key >> b & low, key & low
+    else:  # a text of millions of distinct words
+        c, w, x = map(np.concatenate, zip(*pieces))
+        order = by_pair(c << np.uint64(32) | w, x)
+        c, w, x, n = c[order], w[order], x[order], len(order)
+        first = runs(c, w, x)
+        c, w, x = c[first], w[first], x[first]
+    return *(z.view(np.int64) for z in (c, w, x)), np.diff(np.append(first, n)).astype(np.uint32)
+
+
+def triple_rows(t: Trie, held: list[tuple[np.ndarray, ...]]):
+    """Distinct (context, word, next) of some texts (ids and counts of their words, tokens by word, tokens of each text) with their numbers, dealt to shards, as columns of byte planes."""
+    known, at = np.unique(np.concatenate([h[0] for h in held]), return_index=True)
+    count = np.concatenate([h[1] for h in held])[at]
+
+    def numbered():
+        for ids, _, local, size in held:
+            nth = np.searchsorted(known, ids).astype(np.uint64)
+            w = nth[local]
+            follows = np.append(w[1:], np.uint64(0))
+            follows[np.cumsum(size) - 1] = len(known)
+            yield contexts(w, size, nth[-1]), w, follows  # the end is the last word
+
+    c, w, x, size = distinct(numbered(), len(known).bit_length())
+    n_c, c, w = count[c], known[c].view(np.uint64), known[w].view(np.uint64)
+    key, x = c << np.uint64(32) | w, np.append(known.view(np.uint64), NONE).astype(np.uint32)[x]
     of = shard_of(c, w, n_c, t.shards, t.hot)
+    del n_c, c, w
     rows = [(int(of[at[0]]), split_bytes(np.diff(key[at], prepend=np.uint64(0))), split_bytes(x[at]), split_bytes(size[at])) for at in groups(of)]
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], ["shard", "keys", "next", "counts"])
 
 
-def shard_arrays(key: np.ndarray, x: np.ndarray, n: np.ndarray, counts) -> dict[str, np.ndarray]:
-    """Levels 2 and 3 of a shard from its triples (context << 32 | word, next) and their numbers; ``counts`` gives words' counts."""
-    order = np.lexsort((x, key))
+def shard_arrays(key: np.ndarray, x: np.ndarray, n: np.ndarray, counts, bits: np.uint64) -> dict[str, np.ndarray]:
+    """Levels 2 and 3 of a shard from its triples (context << 32 | word, next) and their numbers; ``counts`` gives words' counts, ``bits`` is what a word takes."""
+    order = by_pair(key, x)
     key, x, n = key[order], x[order], n[order]
     first = runs(key, x)
     key, x, n = key[first], x[first].astype(np.uint64), np.add.reduceat(n, first) if len(first) else n
@@ -303,8 +343,8 @@ def shard_arrays(key: np.ndarray, x: np.ndarray, n: np.ndarray, counts) -> dict[
     kept, third_code = kept[third_code > 0], third_code[third_code > 0]
     parent, place = np.unique(of_pair[kept], return_inverse=True)
     left = 1 - np.bincount(place, of_code(third_code), len(parent))
-    out = ef_build(c[new], "context") | ef_build(np.append(0, np.cumsum(per)), "pointer") | ef_build(rank.astype(np.uint64) << np.uint64(32) | w, "successor")
-    out |= ef_build(parent.astype(np.uint64), "parent") | ef_build(place.astype(np.uint64) << np.uint64(32) | x[kept], "third")
+    out = ef_build(c[new], "context") | ef_build(rank.astype(np.uint64) << bits | w, "successor")
+    out |= ef_build(parent.astype(np.uint64), "parent") | ef_build(place.astype(np.uint64) << bits | x[kept], "third")
     return out | {"code": code, "mass": mass.astype(np.float32), "left": np.clip(np.ceil(left * WEIGHTS), 1, WEIGHTS).astype(np.uint16), "third_code": third_code}
 
 
@@ -334,19 +374,15 @@ def train(docs: DataFrame) -> Model:
 
     def count_triples(batches):
         t, held, waiting = trie(*model), [], 0
-        end = int(t.words(hashes([END]))[0][0]) if t.v else -1
         for text in training(batches):
             local, words, size = tokens_of(text)
-            ids = t.words(hashes(words))[0][local]
-            follows = np.append(ids[1:], 0).astype(np.uint64)
-            follows[np.cumsum(size) - 1] = NONE
-            held.append((ids, follows, contexts(ids, size, end)))
-            waiting += len(ids)
+            held.append((*t.words(hashes(words)), local, size))
+            waiting += len(local)
             if waiting >= TRIPLES_AT_ONCE:
-                yield triple_rows(t, *map(list, zip(*held)))
+                yield triple_rows(t, held)
                 held, waiting = [], 0
         if held:
-            yield triple_rows(t, *map(list, zip(*held)))
+            yield triple_rows(t, held)
         del held
         trim()
 
@@ -354,7 +390,8 @@ def train(docs: DataFrame) -> Model:
         columns = [tbl.column(k).to_pylist() for k in ("keys", "next", "counts")]
         key_, x, m = (np.concatenate(z) for z in ([np.cumsum(join_bytes(v, "<u8")) for v in columns[0]], [join_bytes(v, "<u4") for v in columns[1]], [join_bytes(v, "<u4").astype(np.int64) for v in columns[2]]))
         s = key[0].as_py()
-        arrays = shard_arrays(key_, x, m, trie(*model).counts)
+        t = trie(*model)
+        arrays = shard_arrays(key_, x, m, t.counts, t.bits)
         save(f"{path}/pairs-{s}", arrays)
         return pa.table({"shard": pa.array([s], pa.int64()), "pairs": pa.array([len(arrays["code"])], pa.int64())})
 
@@ -362,7 +399,7 @@ def train(docs: DataFrame) -> Model:
     made = dealt.groupBy("shard").applyInArrow(build_pairs, "shard long, pairs long").collect()  # a row a shard
     none = np.zeros(0, np.uint64)
     for s in set(range(shards)) - {r["shard"] for r in made}:
-        save(f"{path}/pairs-{s}", shard_arrays(none, none.astype(np.uint32), none.astype(np.int64), lambda c: c))
+        save(f"{path}/pairs-{s}", shard_arrays(none, none.astype(np.uint32), none.astype(np.int64), lambda c: c, np.uint64(1)))
     return model
 
 
@@ -377,19 +414,18 @@ def probabilities(t: Trie, flat: np.ndarray, words: list[bytes], size: np.ndarra
     """Count, base probability and the model's probability of every token."""
     ids, count = t.words(hashes(words))
     p1 = (count + ADD) / (t.n + ADD * (t.v + 1))
-    before = contexts(flat, size, len(words) - 1)
-    back = np.ones(len(words))
-    has = np.flatnonzero(ids >= 0)
-    back[has] = t.back(ids[has], count[has])
-    p = back[before] * p1[flat]
-    # Numbers by id, so that the distinct pairs come sorted by their context.
-    by_id = np.argsort(ids, kind="stable")
-    nth = np.empty(len(words), np.int64)
-    nth[by_id] = np.arange(len(words))
-    known = np.flatnonzero((ids[flat] >= 0) & (ids[before] >= 0))
-    pair, where = np.unique(nth[before[known]] * len(words) + nth[flat[known]], return_inverse=True)
-    c, w = by_id[pair // len(words)], by_id[pair % len(words)]
-    q, left, shard, place = t.pairs(ids[c], ids[w], count[c]) if len(pair) else (np.zeros(0),) * 4
+    # Known words are numbered by id, so that the distinct pairs come sorted by their context.
+    order = np.argsort(ids, kind="stable")[np.count_nonzero(ids < 0) :]
+    nth = np.full(len(words), -1, np.int64)
+    nth[order] = np.arange(len(order))
+    word = nth[flat]
+    before = contexts(word, size, nth[-1])
+    back, *stand = t.contexts(ids[order], count[order])
+    p = np.append(back, 1.0)[before] * p1[flat]
+    known = np.flatnonzero((word >= 0) & (before >= 0))
+    pair, where = np.unique(before[known] * len(order) + word[known], return_inverse=True)
+    k, w = np.divmod(pair, max(1, len(order)))
+    q, left, shard, place = t.pairs(k, ids[order[w]], ids[order], count[order], *stand)
     p[known] += q[where]
     # The pair that ends right before a token is its context of order 3, unless the token is its text's first.
     of = np.full(len(flat), -1, np.int64)
@@ -399,11 +435,11 @@ def probabilities(t: Trie, flat: np.ndarray, words: list[bytes], size: np.ndarra
     third = np.flatnonzero(of >= 0)
     third = third[place[of[third]] >= 0]
     p[third] *= left[of[third]]
-    third = third[ids[flat[third]] >= 0]
+    third = third[word[third] >= 0]
     if len(third):
-        want, back_to = np.unique(of[third] * len(words) + flat[third], return_inverse=True)
-        k, w = want // len(words), want % len(words)
-        p[third] += t.triples(shard[k], place[k], ids[w])[back_to]
+        want, back_to = np.unique(of[third] * len(order) + word[third], return_inverse=True)
+        k, w = np.divmod(want, len(order))
+        p[third] += t.triples(shard[k], place[k], ids[order[w]])[back_to]
     return count[flat], p1[flat], p
 
 
@@ -425,6 +461,7 @@ def lm_scores(docs: DataFrame, model: Model) -> DataFrame:
             held = pa.array([not fold(d) for d in b.column("doc_id").to_pylist()], pa.bool_())
             total = pa.array(np.full(b.num_rows, t.n, np.int64))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), held, pa.array(n), pa.array(known), total, pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            release()
         trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -347,6 +347,44 @@ def test_lm_edges(spark, odd):
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (2, 0, 0, 0.0)
 
 
+def test_elias_fano_with_equal_and_crowded_values():
+    """Long runs of ones and of zeros, equal values, values that share a high part."""
+    r = np.random.default_rng(1)
+    for v in (np.full(300, 7), np.repeat(np.arange(40) * 10**9, 50), np.append(r.integers(0, 500, 3000), 1 << 40), np.append(0, r.integers(1 << 50, (1 << 50) + 90, 70))):
+        v = np.sort(v.astype(np.uint64))
+        e = EliasFano(ef_build(v, "a"), "a")
+        q = np.concatenate([v, v + np.uint64(1), r.integers(0, int(v[-1]) + 2, 500).astype(np.uint64)])
+        assert (e.get(np.arange(len(v))) == v).all() and (e.successor(q) == np.searchsorted(v, q)).all()
+        assert (e.find(q) == np.where(np.isin(q, v), np.searchsorted(v, q), -1)).all()
+
+
+@pytest.mark.parametrize("bits", [21, 22, 31])
+def test_distinct_triples_of_few_and_of_many_words(bits):
+    r = np.random.default_rng(bits)
+    c, w, x = ((r.integers(0, 4, 2000) * ((1 << bits) - 1) // 3).astype(np.uint64) for _ in range(3))
+    *got, n = lm_scoring.distinct(((c[i::3], w[i::3], x[i::3]) for i in range(3)), bits)
+    want = Counter(zip(c.tolist(), w.tolist(), x.tolist()))
+    assert [*zip(*(g.tolist() for g in got))] == sorted(want) and n.tolist() == [want[k] for k in sorted(want)]
+    key = c << np.uint64(32) | w
+    order = lm_scoring.by_pair(key, x)
+    assert (key[order] == key[np.lexsort((x, key))]).all() and (x[order] == x[np.lexsort((x, key))]).all()
+    assert len(lm_scoring.by_pair(key[:0], x[:0])) == 0
+
+
+def test_lm_looks_up_no_more_than_it_needs(spark, sample, monkeypatch):
+    """The work of a batch, counted: bits selected for each distinct word, pair and triple; maps are read as plain arrays."""
+    t = lm_scoring.trie(*lm_scoring.train(sample))
+    assert {type(a) for a in t.level("pairs-0").values() if not isinstance(a, EliasFano)} == {np.ndarray}
+    flat, words, size = lm_scoring.tokens_of(pa.array([r.text for r in sample.collect()]))
+    before = lm_scoring.contexts(flat, size, len(words) - 1)
+    pairs, triples = {*zip(before.tolist(), flat.tolist())}, {*zip(before.tolist(), flat.tolist(), flat[1:].tolist())}
+    distinct = len(words) + len(pairs) + len(triples)
+    selected, select = [], EliasFano._select
+    monkeypatch.setattr(EliasFano, "_select", lambda self, count, k, flip: selected.append(len(k)) or select(self, count, k, flip))
+    assert (lm_scoring.probabilities(t, flat, words, size)[2] > 0).all()
+    assert sum(selected) < 2 * distinct
+
+
 def test_levels_need_no_mounted_folder(tmp_path, monkeypatch):
     """A store that is not the local file system: written and read through the same interface, nothing mapped."""
     from pyarrow import fs
