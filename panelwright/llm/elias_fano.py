@@ -26,13 +26,11 @@ def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def take_bits(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    if not width:
-        return np.zeros(len(at), np.uint64)
-    bit = at.astype(np.int64) * width
+def take_bits(words: np.ndarray, bit: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """So many bits from each position."""
     word, shift = bit >> 6, (bit & 63).view(np.uint64)
     high = words[word + 1] << U1 << (shift ^ np.uint64(63))  # by 64 - shift in two steps, as a shift by 64 is not defined
-    return (words[word] >> shift | high) & np.uint64((1 << width) - 1)
+    return (words[word] >> shift | high) & (U1 << width) - U1
 
 
 #: Every byte 1, its top bit; place of the r-th set bit of a byte b at r << 8 | b; bits above each bit of a word.
@@ -67,60 +65,78 @@ def ef_build(values: np.ndarray, prefix: str) -> dict[str, np.ndarray]:
     return {f"{prefix}.low": pack_bits(values, width), f"{prefix}.upper": upper, f"{prefix}.ones": ones, f"{prefix}.zeros": 64 * np.arange(len(ones)) - ones, f"{prefix}.shape": np.array([n, width, most >> width])}
 
 
+def ef_join(levels: list[dict[str, np.ndarray]]) -> dict[str, list[np.ndarray]]:
+    """Arrays of several files, in pieces one after the other; counts of set and unset bits go on from piece to piece."""
+    out: dict[str, list[np.ndarray]] = {k: [a[k] for a in levels] for k in levels[0]}
+    for k in out:
+        if k.endswith((".ones", ".zeros")):
+            base = np.cumsum([0, *(int(a[-1]) for a in out[k])])
+            out[k] = [a[:-1] + b for a, b in zip(out[k], base)] + [base[-1:]]
+    return out
+
+
 class EliasFano:
+    """A sequence, or several joined ones (segments): positions and values are those within the segment."""
+
     def __init__(self, arrays: dict[str, np.ndarray], prefix: str):
         self.low, self.upper, self.ones, self.zeros = (arrays[f"{prefix}.{k}"] for k in ("low", "upper", "ones", "zeros"))
-        self.n, self.width, self.top = (int(x) for x in arrays[f"{prefix}.shape"])
+        self.n, width, top = arrays[f"{prefix}.shape"].reshape(-1, 3).T
+        before = lambda x: np.cumsum(x) - x
+        self.first = before(self.n)
+        self.zero = 64 * before((self.n + top + 2) // 64 + 1) - self.first
+        self.low_at = 64 * before(self.n * width // 64 + 2)
+        self.width, self.top = width.astype(np.uint64), top.astype(np.uint64)
 
     def _select(self, count: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
         word = np.searchsorted(count, k, side="right") - 1
         x = self.upper[word]
         return word * 64 + nth_one(~x if flip else x, k - count[word])
 
-    def get(self, i: np.ndarray) -> np.ndarray:
+    def get(self, i: np.ndarray, segment: np.ndarray | int = 0) -> np.ndarray:
         """Values at the positions i."""
-        high = (self._select(self.ones, i, False) - i).astype(np.uint64)
-        return high << np.uint64(self.width) | take_bits(self.low, i, self.width)
+        k, width = i + self.first[segment], self.width[segment]
+        high = (self._select(self.ones, k, False) - k - self.zero[segment]).astype(np.uint64)
+        return high << width | take_bits(self.low, self.low_at[segment] + i * width.astype(np.int64), width)
 
-    def _bounds(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the values of a high part begin and end: at the zeros before and after them."""
-        before = self._select(self.zeros, np.maximum(h - 1, 0), True)
+    def _bounds(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many values are before the k-th zero and the one before it, which enclose those of a high part."""
+        before = self._select(self.zeros, np.maximum(k - 1, 0), True)
         rest = ~self.upper[before >> 6] & ABOVE[before & 63]
         after = (before & ~63) + np.bitwise_count((rest & (~rest + U1)) - U1)
-        far = np.flatnonzero((rest == 0) | (h == 0))
+        far = np.flatnonzero((rest == 0) | (k == 0))
         if far.size:
-            after[far] = self._select(self.zeros, h[far], True)
-        return np.where(h > 0, before - h + 1, 0), after - h
+            after[far] = self._select(self.zeros, k[far], True)
+        return np.where(k > 0, before - k + 1, 0), after - k
 
-    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _search(self, x: np.ndarray, segment: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """Position of the first value >= x, by a jump to x's high part and a search over the low parts, and whether it is x."""
-        x = x.astype(np.uint64)
-        high = x >> np.uint64(self.width)
-        inside = high <= self.top
-        lo, hi = self._bounds(np.where(inside, high, 0).astype(np.int64))
-        want, end = x & np.uint64((1 << self.width) - 1), hi.copy()
+        x, segment = x.astype(np.uint64), np.zeros(len(x), np.int64) if segment is None else segment
+        width, first = self.width[segment], self.first[segment]
+        high = x >> width
+        inside = high <= self.top[segment]
+        lo, hi = self._bounds(self.zero[segment] + np.where(inside, high, 0).astype(np.int64))
+        lo, hi = lo - first, hi - first
+        want, end, at, wide = x & (U1 << width) - U1, hi.copy(), self.low_at[segment], width.astype(np.int64)
         live = np.flatnonzero(lo < hi)
         while live.size:
             l, h = lo[live], hi[live]
             mid = (l + h) >> 1
-            less = take_bits(self.low, mid, self.width) < want[live]
+            less = take_bits(self.low, at[live] + mid * wide[live], width[live]) < want[live]
             lo[live] = l = np.where(less, mid + 1, l)
             hi[live] = h = np.where(less, h, mid)
             live = live[l < h]
         equal = np.flatnonzero(inside & (lo < end))  # the high part is x's
         is_x = np.zeros(len(x), bool)
-        is_x[equal] = take_bits(self.low, lo[equal], self.width) == want[equal]
-        return np.where(inside, lo, self.n), is_x
+        is_x[equal] = take_bits(self.low, at[equal] + lo[equal] * wide[equal], width[equal]) == want[equal]
+        return np.where(inside, lo, self.n[segment]), is_x
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
+    def successor(self, x: np.ndarray, segment: np.ndarray | None = None) -> np.ndarray:
         """Position of the first value >= x."""
-        return self._search(x)[0]
+        return self._search(x, segment)[0]
 
-    def find(self, x: np.ndarray) -> np.ndarray:
+    def find(self, x: np.ndarray, segment: np.ndarray | None = None) -> np.ndarray:
         """Position of x, -1 where it is absent."""
-        if not self.n:
-            return np.full(len(x), -1, np.int64)
-        at, is_x = self._search(x)
+        at, is_x = self._search(x, segment)
         return np.where(is_x, at, -1)
 
 
@@ -132,21 +148,24 @@ def resolve(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
-def save(path: str, arrays: dict[str, np.ndarray]) -> None:
-    """One file with all arrays; written aside and moved, so a task that runs twice leaves one whole file."""
+def save(path: str, arrays: dict[str, np.ndarray | list[np.ndarray]]) -> None:
+    """One file with all arrays, whole or in pieces; written aside and moved, so a task that runs twice leaves one whole file."""
     store, path = resolve(path)
     head, at = {}, 0
-    for k, a in arrays.items():
-        head[k] = [a.dtype.str, len(a), at]
-        at += -(-a.nbytes // 64) * 64
+    pieces = {k: a if isinstance(a, list) else [a] for k, a in arrays.items()}
+    for k, a in pieces.items():
+        head[k] = [a[0].dtype.str, sum(map(len, a)), at]
+        at += -(-sum(x.nbytes for x in a) // 64) * 64
     text = json.dumps(head).encode()
     text = len(text).to_bytes(8, "little") + text
     store.create_dir(os.path.dirname(path), recursive=True)
     aside = f"{path}.{uuid.uuid4().hex}"
     with store.open_output_stream(aside) as f:
         f.write(text + b"\0" * (-len(text) % 64))
-        for a in arrays.values():
-            f.write(a.tobytes() + b"\0" * (-a.nbytes % 64))
+        for a in pieces.values():
+            for x in a:
+                f.write(x.tobytes())
+            f.write(b"\0" * (-sum(x.nbytes for x in a) % 64))
     store.move(aside, path)
 
 

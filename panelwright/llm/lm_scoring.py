@@ -8,8 +8,9 @@ the word's bits, so that the selected high part is the pointer to a context's ra
 probabilities quantised to 8 bits; a pair that is itself the context of kept triples has its place
 in the shard's third level, whose successors are made monotone by that place. Every look-up is a
 successor search relative to its context; a batch finds each of its contexts once.
-Levels are files in the shared folder, memory-mapped by the tasks where it is mounted, else read
-shard by shard (a bounded number is held), so a task's memory is bounded by its batch.
+Levels are files in the shared folder, memory-mapped by the tasks where it is mounted, up to
+``VOLUME`` shards joined in a file, so that a batch opens few and looks up many at once; else read
+shard by shard (a bounded number is held). So a task's memory is bounded by its batch.
 
     P(w | u, v) = q(w | u, v) + b(u, v) * P(w | v),  P(w | v) = q(w | v) + b(v) * P(w)
 
@@ -38,10 +39,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm.common import LOWER_BYTES, materialize, scratch, shuffle_partitions, slices, table, trim
-from panelwright.llm.elias_fano import EliasFano, ef_build, load, save
+from panelwright.llm.common import LOWER_BYTES, discard, materialize, scratch, shuffle_partitions, slices, table, trim
+from panelwright.llm.elias_fano import EliasFano, ef_build, ef_join, load, resolve, save
 from panelwright.llm.memo import spread
 
 ADD, DISCOUNT, MIN_TRIPLES = 0.1, 0.75, 2
@@ -49,9 +51,13 @@ FOLDS = 10
 #: Partial word counts of a level-1 part, training tokens of a shard, occurrences beyond which a context is dealt over shards.
 PART_ROWS, SHARD_TOKENS, HOT = 4_000_000, 1_000_000, 500_000
 #: Bounds of what a task holds: distinct words and triples before they go on, rows and bytes of text at once, files of the trie.
-WORDS_AT_ONCE, TRIPLES_AT_ONCE, ROWS_AT_ONCE, BYTES_AT_ONCE, FILES_HELD = 500_000, 800_000, 4000, 4 << 20, 256
-#: Path, words of the level-1 parts, N, shards, occurrences that make a context hot.
-Model = tuple[str, tuple[int, ...], int, int, int]
+WORDS_AT_ONCE, TRIPLES_AT_ONCE, ROWS_AT_ONCE, BYTES_AT_ONCE, FILES_HELD = 500_000, 800_000, 4000, 3 << 20, 256
+#: Shards joined in a file of a mounted folder.
+VOLUME = 128
+#: Look-ups at once, which a processor's cache holds.
+AT_ONCE = 16384
+#: Path, words of the level-1 parts, N, shards, occurrences that make a context hot, shards in a file.
+Model = tuple[str, tuple[int, ...], int, int, int, int]
 LEVELS, STEP = 256, 10 / 255  # log10 from -10 to 0
 WEIGHTS = (1 << 16) - 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -87,7 +93,7 @@ def split_bytes(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
 
 
-def join_bytes(raw: bytes, kind: str) -> np.ndarray:
+def join_bytes(raw: bytes | pa.Buffer, kind: str) -> np.ndarray:
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
@@ -106,12 +112,13 @@ def runs(*sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in sorted_keys], axis=0)))
 
 
-def groups(of: np.ndarray):
-    """Positions of each value, values ascending."""
+def groups(of: np.ndarray, per: int = 1, most: int = 1 << 62):
+    """Positions of each value, or of each ``per`` values, values ascending; at most so many at once."""
     if not len(of):
         return ()
     order = np.argsort(of.astype(np.uint16) if of.max() < 1 << 16 else of, kind="stable")  # short numbers are sorted by their digits
-    return np.split(order, np.flatnonzero(np.diff(of[order])) + 1)
+    cuts = np.flatnonzero(np.diff(of[order] // per)) + 1
+    return np.split(order, cuts if most >= len(of) else np.union1d(cuts, np.arange(most, len(of), most)))
 
 
 def by_pair(key: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -136,7 +143,8 @@ OF_CODE = np.where(np.arange(LEVELS) > 0, 10.0 ** ((np.arange(LEVELS) - (LEVELS
 class Trie:
     """The levels. ``parts``: words of each level-1 part; totals N and V."""
 
-    def __init__(self, path: str, parts: tuple[int, ...], n: int, shards: int, hot: int):
+    def __init__(self, path: str, parts: tuple[int, ...], n: int, shards: int, hot: int, per: int):
+        self.per = per
         self.path, self.offset, self.n, self.v, self.shards, self.hot = path, np.append(0, np.cumsum(parts)).astype(np.int64), n, sum(parts), shards, hot
         self.bits = np.uint64(self.v.bit_length())
         self.levels: OrderedDict[str, dict] = OrderedDict()
@@ -186,10 +194,12 @@ class Trie:
             stands = stands[runs(stands)]  # a shard that serves one context twice counts once
         which, of = np.divmod(stands, self.shards)
         b, rank = np.ones(len(c)), np.full(len(stands), -1, np.int64)
-        for at in groups(of):
-            lv = self.level(f"pairs-{of[at[0]]}")
-            rank[at] = r = lv["context"].find(c[which[at]])
-            b[which[at[r >= 0]]] -= lv["mass"][r[r >= 0]]
+        for at in groups(of, self.per, AT_ONCE):
+            lv = self.level(f"pairs-{of[at[0]] // self.per}")
+            segment = of[at] % self.per
+            rank[at] = r = lv["context"].find(c[which[at]], segment)
+            at, r = at[r >= 0], (r + lv["context"].first[segment])[r >= 0]
+            np.subtract.at(b, which[at], lv["mass"][r].astype(float))
         return np.maximum(b, DISCOUNT / np.maximum(n_c, 1)), stands, rank  # a single successor leaves as much
 
     def pairs(self, k: np.ndarray, w: np.ndarray, c: np.ndarray, n_c: np.ndarray, stands: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -199,32 +209,34 @@ class Trie:
         r = rank[k if len(stands) == len(c) else np.searchsorted(stands, k * self.shards + of)]
         x = r.astype(np.uint64) << self.bits | w.astype(np.uint64)
         there = np.flatnonzero(r >= 0)
-        for at in groups(of[there]):
+        for at in groups(of[there], self.per, AT_ONCE):
             at = there[at]
-            lv = self.level(f"pairs-{of[at[0]]}")
-            i = lv["successor"].find(x[at])
-            at, i = at[i >= 0], i[i >= 0]
-            q[at] = of_code(lv["code"][i])
-            i = lv["parent"].find(i)
-            at, i = at[i >= 0], i[i >= 0]
+            lv = self.level(f"pairs-{of[at[0]] // self.per}")
+            segment = of[at] % self.per
+            i = lv["successor"].find(x[at], segment)
+            at, segment, i = at[i >= 0], segment[i >= 0], i[i >= 0]
+            q[at] = of_code(lv["code"][lv["successor"].first[segment] + i])
+            i = lv["parent"].find(i, segment)
+            at, segment, i = at[i >= 0], segment[i >= 0], i[i >= 0]
             place[at] = i
-            b[at] = lv["left"][i] / WEIGHTS
+            b[at] = lv["left"][lv["parent"].first[segment] + i] / WEIGHTS
         return q, b, of, place
 
     def triples(self, shard: np.ndarray, place: np.ndarray, w: np.ndarray) -> np.ndarray:
         """q of successors w of contexts of level 3."""
         q = np.zeros(len(w))
-        for at in groups(shard):
-            lv = self.level(f"pairs-{shard[at[0]]}")
+        for at in groups(shard, self.per, AT_ONCE):
+            lv = self.level(f"pairs-{shard[at[0]] // self.per}")
+            segment = shard[at] % self.per
             x = place[at].astype(np.uint64) << self.bits | w[at].astype(np.uint64)
-            i = lv["third"].find(x)
-            q[at[i >= 0]] = of_code(lv["third_code"][i[i >= 0]])
+            i = lv["third"].find(x, segment)
+            q[at[i >= 0]] = of_code(lv["third_code"][(i + lv["third"].first[segment])[i >= 0]])
         return q
 
 
 @lru_cache(maxsize=2)
-def trie(path: str, parts: tuple[int, ...], n: int, shards: int, hot: int) -> Trie:
-    return Trie(path, parts, n, shards, hot)
+def trie(path: str, parts: tuple[int, ...], n: int, shards: int, hot: int, per: int) -> Trie:
+    return Trie(path, parts, n, shards, hot, per)
 
 
 def tokens_of(text: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
@@ -370,7 +382,9 @@ def train(docs: DataFrame) -> Model:
     sizes = dict((r["part"], r["words"]) for r in built)
     n = sum(r["tokens"] for r in built)
     shards = max(1, -(-n // SHARD_TOKENS))
-    model: Model = (path, tuple(sizes.get(p, 0) for p in range(parts)), n, shards, HOT)
+    per = VOLUME if isinstance(resolve(path)[0], fs.LocalFileSystem) else 1
+    apart = f"{path}-shards" if per > 1 else path
+    model: Model = (path, tuple(sizes.get(p, 0) for p in range(parts)), n, shards, HOT, per)
 
     def count_triples(batches):
         t, held, waiting = trie(*model), [], 0
@@ -387,19 +401,34 @@ def train(docs: DataFrame) -> Model:
         trim()
 
     def build_pairs(key, tbl):
-        columns = [tbl.column(k).to_pylist() for k in ("keys", "next", "counts")]
+        columns = [[v.as_buffer() for v in tbl.column(k)] for k in ("keys", "next", "counts")]
         key_, x, m = (np.concatenate(z) for z in ([np.cumsum(join_bytes(v, "<u8")) for v in columns[0]], [join_bytes(v, "<u4") for v in columns[1]], [join_bytes(v, "<u4").astype(np.int64) for v in columns[2]]))
         s = key[0].as_py()
         t = trie(*model)
         arrays = shard_arrays(key_, x, m, t.counts, t.bits)
-        save(f"{path}/pairs-{s}", arrays)
-        return pa.table({"shard": pa.array([s], pa.int64()), "pairs": pa.array([len(arrays["code"])], pa.int64())})
+        save(f"{apart}/pairs-{s}", arrays)
+        pairs = len(arrays["code"])
+        del columns, key_, x, m, arrays
+        trim()  # as the next shard, or a task of the next stage, begins beside another worker's peak
+        return pa.table({"shard": pa.array([s], pa.int64()), "pairs": pa.array([pairs], pa.int64())})
 
     dealt = docs.mapInArrow(count_triples, "shard long, keys binary, next binary, counts binary").repartition(shuffle_partitions(docs.sparkSession, shards, 1), "shard")
     made = dealt.groupBy("shard").applyInArrow(build_pairs, "shard long, pairs long").collect()  # a row a shard
     none = np.zeros(0, np.uint64)
     for s in set(range(shards)) - {r["shard"] for r in made}:
-        save(f"{path}/pairs-{s}", shard_arrays(none, none.astype(np.uint32), none.astype(np.int64), lambda c: c, np.uint64(1)))
+        save(f"{apart}/pairs-{s}", shard_arrays(none, none.astype(np.uint32), none.astype(np.int64), lambda c: c, np.uint64(1)))
+
+    def join(batches):
+        for b in batches:
+            for v in b.column("id").to_pylist():
+                save(f"{path}/pairs-{v}", ef_join([load(f"{apart}/pairs-{s}") for s in range(v * per, min(shards, v * per + per))]))
+            trim()
+            yield b
+
+    if per > 1:
+        files = -(-shards // per)
+        docs.sparkSession.range(0, files, 1, files).mapInArrow(join, "id long").count()
+        discard(docs.sparkSession, apart)
     return model
 
 

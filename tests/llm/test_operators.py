@@ -8,6 +8,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from panelwright.llm import bpe_codec, bytebpe, codepoints, common, cover_tree, elias_fano, exact_dedup, lm_scoring, packing, pii, sharding, simhash, token_counts, toxicity
-from panelwright.llm.elias_fano import EliasFano, ef_build, load, save
+from panelwright.llm.elias_fano import EliasFano, ef_build, ef_join, load, resolve, save
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LOW = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -385,6 +386,36 @@ def test_lm_looks_up_no_more_than_it_needs(spark, sample, monkeypatch):
     assert sum(selected) < 2 * distinct
 
 
+@pytest.mark.parametrize("volume", [1, 3, 128])
+def test_lm_look_ups_do_not_multiply_with_shards(spark, sample, volume, monkeypatch):
+    """Shards are joined in files, and a batch looks up once a file whatever its shards."""
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 2000)
+    monkeypatch.setattr(lm_scoring, "VOLUME", volume)
+    model = lm_scoring.train(sample)
+    check_lm(sample, lm_scoring.lm_scores(sample, model))
+    t, files = lm_scoring.trie(*model), {p.name for p in Path(resolve(model[0])[1]).iterdir()}
+    assert t.shards > 10 and {f for f in files if f.startswith("pairs")} == {f"pairs-{v}" for v in range(-(-t.shards // volume))}
+    assert not Path(resolve(model[0])[1] + "-shards").exists()
+    calls, find = [], EliasFano.find
+    monkeypatch.setattr(EliasFano, "find", lambda self, *a: calls.append(len(a[0])) or find(self, *a))
+    flat, words, size = lm_scoring.tokens_of(pa.array([r.text for r in sample.limit(20).collect()]))
+    lm_scoring.probabilities(t, flat, words, size)
+    assert len(calls) <= 1 + 4 * -(-t.shards // volume) + sum(calls) // lm_scoring.AT_ONCE
+
+
+def test_joined_sequences():
+    """Empty, single, dense and sparse sequences in one: each is found within its own segment."""
+    r = np.random.default_rng(5)
+    all_ = [np.sort(r.integers(0, most, n).astype(np.uint64)) for n, most in [(0, 1), (300, 70), (1, 1), (1, 1 << 62), (0, 1), (700, 1 << 50), (64, 64), (40, 1000)]]
+    joined = {k: np.concatenate(a) for k, a in ef_join([ef_build(v, "a") for v in all_]).items()}
+    e = EliasFano(joined, "a")
+    q = np.concatenate([*all_, r.integers(0, 1 << 51, 200).astype(np.uint64), np.arange(80, dtype=np.uint64)])
+    for k, v in enumerate(all_):
+        s = np.full(len(q), k)
+        assert (e.get(np.arange(len(v)), np.full(len(v), k)) == v).all() and (e.successor(q, s) == np.searchsorted(v, q)).all()
+        assert (e.find(q, s) == np.where(np.isin(q, v), np.searchsorted(v, q), -1)).all()
+
+
 def test_levels_need_no_mounted_folder(tmp_path, monkeypatch):
     """A store that is not the local file system: written and read through the same interface, nothing mapped."""
     from pyarrow import fs
